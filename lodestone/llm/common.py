@@ -13,6 +13,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.ship import ship
+
 #: Bytes of a table that may be broadcast where the session's own threshold says nothing.
 BROADCAST_BYTES = 10 << 20
 
@@ -82,6 +84,7 @@ def _size(text: str) -> int:
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """Only the id and the text (null: empty) as _id and _text, whatever else the table holds."""
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), *more)
 
 

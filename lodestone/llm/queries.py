@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, packing, token_count, token_files
+from lodestone.llm import decontamination, packing, simhash, token_count, token_files, warc
 from lodestone.llm.common import table
 
 
@@ -28,11 +28,29 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op4_packing, op6_token_files, op9_token_count)
+    f.__name__: f for f in (op3_decontamination, op4_packing, op6_token_files, op7_simhash, op9_token_count, op10_warc)
+}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
+             f AS (SELECT digest, min(page_id) AS least FROM d WHERE n >= 100 GROUP BY digest HAVING count(*) > 1)
+        SELECT page_id, n::BIGINT AS payload_bytes, d.digest AS payload_digest,
+               CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN least <> page_id THEN least END AS refers_to
+        FROM d LEFT JOIN f ON d.digest = f.digest
+    """,
 }
-ORACLES: dict[str, str] = {}
