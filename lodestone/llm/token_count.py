@@ -36,9 +36,9 @@ class WordCounts(dict):
         self.last = [names[s + word_bpe.END_OF_WORD] for s in self.symbols]
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = n = self.merged(word.encode())
+        n = self.merged(word.encode())
+        if len(self) < self.most:  # the frequent words are among the first
+            self[word] = n
         return n
 
     def merged(self, data: bytes) -> int:

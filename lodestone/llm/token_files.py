@@ -28,29 +28,53 @@ REMEMBERED = 400_000
 NULL_ID = -(1 << 63)
 
 
-class WordIds(dict):
-    """Word to its ids as bytes, from the tokenizers library; filled for all of a batch's new words at once."""
+class WordIds:
+    """Texts to ids as bytes, from the tokenizers library, which sees each new word of a batch once.
+
+    Words are split here as the file's normaliser and pre-tokenizer would; its model alone, in the library, turns them
+    into ids, many at a time, and the tokens that end words tell them apart. The first `remembered` words stay known, as
+    the frequent ones are among them; later ones are forgotten after their batch. Texts with special strings or rare
+    characters go through the whole file's tokenizer as they are.
+    """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.most, self.exact = remembered, Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.exact.get_vocab_size() <= 1 << 16 else "<u4")
+        self.exact, self.most, self.known = Tokenizer.from_file(path), remembered, {}
+        self.model = Tokenizer(self.exact.model)
+        vocabulary = self.exact.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(word_bpe.END_OF_WORD)]] = True
+        self.symbols = dict(enumerate(word_bpe.byte_symbols()))
 
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
+    def _symbols(self, word: str) -> str:
+        return word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.symbols)
+
+    def words(self, words: list[str], step: int = 5000) -> Iterator[bytes]:
+        """Each word's ids."""
+        width = self.kind.itemsize
+        for at in range(0, len(words), step):
+            part = words[at : at + step]
+            (found,) = self.model.encode_batch_fast([list(map(self._symbols, part))], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, self.kind)
+            cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()]
+            body = ids.tobytes()
+            yield from (body[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
     def texts(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.known
         split = [None if word_bpe.has_special(t) or not word_bpe.is_plain(t) else word_bpe.split_words(t) for t in texts]
-        new = list({w for words in split if words for w in words}.difference(self))
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list({w for words in split if words for w in words})
-        for word, e in zip(new, self.exact.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[word] = self.raw(e.ids)
+        new = list(set().union(*filter(None, split)).difference(known))
+        known.update(zip(new, self.words(new), strict=True))
         for text, words in zip(texts, split, strict=True):
-            yield self.raw(self.exact.encode(text, add_special_tokens=False).ids) if words is None else b"".join(map(self.__getitem__, words))
+            yield self.raw(self.exact.encode(text, add_special_tokens=False).ids) if words is None else b"".join(map(known.__getitem__, words))
+        for word in new[max(0, self.most - len(known) + len(new)) :]:
+            del known[word]
 
 
 _ids: dict[str, WordIds] = {}
