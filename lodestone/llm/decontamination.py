@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, pieces, saved
+from lodestone.ship import ship
 
 WINDOW = 10
 #: Bytes of normalised benchmark text in one automaton; more text is scanned in several passes.
@@ -143,6 +144,26 @@ def _scan(key: str, shared, last: bool):
     return scan
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The documents, all columns, without any that hold a window of the benchmark; null texts hold none."""
+    context = ship(docs.sparkSession).sparkContext
+    for patterns in _passes(benchmark, item_col, item_text_col, size, automaton_bytes):
+        if patterns:
+            key = hashlib.sha256(repr((size, patterns)).encode()).hexdigest()
+            docs = docs.filter(~_hit(key, context.broadcast(patterns))(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return docs
+
+
+def _hit(key: str, shared):
+    @F.arrow_udf("boolean")
+    def hit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made, _ = automaton(shared.value, key)
+        for texts in batches:
+            yield pa.array([bool(hits(t.as_buffer().to_pybytes(), made)[1]) for t in texts.cast(pa.binary())], pa.bool_())
+
+    return hit
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The columns of the contract, from decontaminate()."""
     return found.select(id_col, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")

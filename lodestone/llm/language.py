@@ -17,7 +17,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, pieces
@@ -190,6 +190,33 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
+def predicted(model: Model | None, spark: SparkSession, text: Column) -> Column:
+    """The language of a text column, for use beside other columns."""
+    shared = ship(spark).sparkContext.broadcast(model)
+
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        m = shared.value
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), 256):
+                part = texts[at : at + 256].to_pylist()
+                out += [m.languages[k] for k in m.score(part).argmax(axis=1)] if m else [UNKNOWN] * len(part)
+            yield pa.array(out, pa.string())
+
+    text = text.cast("string")
+    return F.when(F.coalesce(has_letter(text), F.lit(False)), run(F.coalesce(text, F.lit("")))).otherwise(F.lit(UNKNOWN))
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents, all columns, less those that aren't in any language: null texts and texts without letters.
+
+    Learns from every labelled row; with no labelled row nothing can be identified and nothing is kept.
+    """
+    model = fit(docs, id_col, text_col, lang_col)
+    return docs.filter(predicted(model, docs.sparkSession, F.col(text_col)) != UNKNOWN)
+
+
 def held_out(id_col: Column) -> Column:
     """A null id is never held out."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))

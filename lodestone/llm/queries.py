@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import decontamination, packing, simhash, token_count, token_files, warc
+from lodestone.llm import decontamination, language, packing, simhash, token_count, token_files, warc
 from lodestone.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -41,7 +45,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_decontamination, op4_packing, op6_token_files, op7_simhash, op9_token_count, op10_warc)
+    f.__name__: f for f in (op3_decontamination, op4_packing, op6_token_files, op7_simhash, op8_language, op9_token_count, op10_warc)
 }
 ORACLES: dict[str, str] = {
     "op10_warc": """
