@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, language, packing, simhash, token_count, token_files, topk, warc
+from lodestone.llm import decontamination, language, license_scan, packing, simhash, token_count, token_files, topk, warc
 from lodestone.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % topk.EVERY == 0)
 
@@ -50,9 +54,10 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_topk, op3_decontamination, op4_packing, op6_token_files, op7_simhash, op8_language, op9_token_count, op10_warc)
+    f.__name__: f for f in (op1_license_scan, op2_topk, op3_decontamination, op4_packing, op6_token_files, op7_simhash, op8_language, op9_token_count, op10_warc)
 }
 ORACLES: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle(),
     "op2_topk": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
