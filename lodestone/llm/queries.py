@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontamination, language, license_scan, packing, simhash, token_count, token_files, topk, warc
+from lodestone.llm import chat, decontamination, language, license_scan, packing, simhash, token_count, token_files, topk, warc
 from lodestone.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), keep_ids=False)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_to_files(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -54,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_topk, op3_decontamination, op4_packing, op6_token_files, op7_simhash, op8_language, op9_token_count, op10_warc)
+    f.__name__: f for f in (op1_license_scan, op2_topk, op3_decontamination, op4_packing, op5_chat, op6_token_files, op7_simhash, op8_language, op9_token_count, op10_warc)
 }
 ORACLES: dict[str, str] = {
     "op1_license_scan": license_scan.oracle(),
