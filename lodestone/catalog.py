@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with the SQL to check it by, if SQL can say it."""
+
+    def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are called {f.__name__}")
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+for _name in ("text", "chat", "selection", "shards", "metrics", "reports", "tensors", "tokenizer", "streams"):
+    importlib.import_module(f"lodestone.plans.{_name}")
