@@ -1 +1,114 @@
-"""Queries."""
+"""Queries on the byte-pair tokenizer. Where SQL can't say a result, tests compare it with a naive version."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.catalog import query
+from lodestone.functions import canonical
+from lodestone.operators import digest, tokenizer
+from lodestone.operators.chat import SPECIAL_IDS
+from lodestone.operators.shards import byte_tokens
+from lodestone.session import table
+
+#: A run of white space is cut before its last character by a mark, as this engine's patterns can't look ahead.
+_SEGMENTS = r"""
+    m AS (SELECT doc_id, regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(1) || '\2', 'g') AS t FROM documents),
+    seg AS (SELECT doc_id, unnest(regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\x01\p{L}\p{N}]+|\s+')) AS segment FROM m)"""
+
+
+@query(f"WITH {_SEGMENTS} SELECT doc_id, count(*)::INTEGER AS segments, sum(strlen(segment))::BIGINT AS bytes FROM seg GROUP BY doc_id")
+def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", tokenizer.pretokens(F.col("text")).alias("s"))
+    return rows.select("doc_id", F.size("s").alias("segments"), F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)).alias("bytes"))
+
+
+@query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS frequency FROM seg GROUP BY segment")
+def segment_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text")
+
+
+_COUNTS = f"""
+    {_SEGMENTS.strip()}, f AS (SELECT hex(encode(segment)) AS h, count(*) AS frequency FROM seg GROUP BY segment),
+    p AS (SELECT frequency, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER + 8 AS "left", ('0x' || substr(h, 2 * i + 3, 2))::INTEGER + 8 AS "right" FROM (SELECT *, unnest(range(0, length(h) // 2 - 1)) AS i FROM f)),
+    counts AS (SELECT "left", "right", sum(frequency)::BIGINT AS count FROM p GROUP BY ALL)"""
+
+
+@query(f"WITH {_COUNTS} SELECT * FROM counts")
+def pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.pair_counts(tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text"))
+
+
+@query(f'WITH {_COUNTS} SELECT * FROM counts ORDER BY count DESC, "left", "right" LIMIT 1')
+def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer.best_pair(tokenizer.pair_counts(tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text")))
+
+
+@query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS frequency, strlen(replace(segment, 'en', '~'))::INTEGER AS ids FROM seg WHERE NOT contains(segment, '~') GROUP BY segment")
+def merge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids that are left of each segment when "e" and "n" are merged."""
+    rows = tokenizer.segment_frequencies(table(spark, sf_dir, "documents").filter("not contains(text, '~')"), "text")
+    ids = tokenizer.merged(byte_tokens(F.col("segment")), 8 + ord("e"), 8 + ord("n"), 264)
+    return rows.select("segment", "frequency", F.size(ids).alias("ids"))
+
+
+def _trained(spark: SparkSession, sf_dir: str) -> tokenizer.BytePairs:
+    return tokenizer.train(table(spark, sf_dir, "documents"), "text", 264 + 200)
+
+
+@query()
+def bpe_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _trained(spark, sf_dir)
+    return spark.createDataFrame([(k, a, b, 264 + k, bytes(pairs.vocabulary[264 + k])) for k, (a, b) in enumerate(pairs.merges)], "rank int, left int, right int, new_id int, bytes binary")
+
+
+@query()
+def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pretokens first, and back again."""
+    pairs = _trained(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", tokenizer.encoded(spark, pairs, F.col("text")).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("tokens"), (tokenizer.decoded(spark, pairs, F.col("ids")) == F.col("text")).alias("round_trip"))
+
+
+@query()
+def bpe_encode_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text at once, as shards are built, and the end id."""
+    pairs = _trained(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_append(tokenizer.encoded(spark, pairs, F.col("text"), whole=True), 2).alias("ids"))
+    return rows.select("doc_id", F.size("ids").alias("tokens"), F.exists("ids", lambda t: t >= 264 + 200).alias("out_of_range"))
+
+
+@query()
+def bpe_special(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered conversations with their control strings as ids, and back again."""
+    from lodestone.operators import chat
+
+    pairs = _trained(spark, sf_dir)
+    rows = chat.conversations(table(spark, sf_dir, "conversations")).select("conv_id", chat.rendered(F.col("messages")).alias("text"))
+    rows = rows.select("conv_id", "text", tokenizer.encoded(spark, pairs, F.col("text"), special=tuple(SPECIAL_IDS)).alias("ids"))
+    controls = F.size(F.filter("ids", lambda t: t < 8))
+    return rows.select("conv_id", F.size("ids").alias("tokens"), controls.alias("controls"), (tokenizer.decoded(spark, pairs, F.col("ids"), render_special=True) == F.col("text")).alias("round_trip"))
+
+
+@query()
+def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.stream_digest(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which lines of a log are in canonical form: a third have a blank too many, a third have their keys in the wrong order."""
+    kind = F.col("event_id") % 3
+    line = F.when(kind == 0, F.format_string('{"event":"%s","step":%d}', "event_type", "event_id")).when(kind == 1, F.format_string('{"event": "%s","step":%d}', "event_type", "event_id")).otherwise(F.format_string('{"step":%d,"event":"%s"}', "event_id", "event_type"))
+    from lodestone.ship import ship
+
+    ship(spark)
+    return table(spark, sf_dir, "events").select("event_id", canonical.is_canonical(line).alias("canonical"))
+
+
+@query()
+def template_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The identity of the chat template: SHA-256 of its canonical JSON."""
+    template = {"special_tokens": SPECIAL_IDS, "turn": "<|{role}|>{content}<|end|>", "first": "<|bos|>", "last": "<|eos|>", "version": 1}
+    return spark.createDataFrame([(canonical.canonical(template), canonical.digest(template))], "template string, sha256 string")
