@@ -15,7 +15,7 @@ def step_id(step: Column) -> Column:
 
 def step_of(name: Column) -> Column:
     """The step of a well-formed id, else null."""
-    return F.when(name.rlike("^step-[0-9]{12}$"), F.substring(name, 6, 12).cast("long"))
+    return F.when(name.rlike("^step-[0-9]{12}\\z"), F.substring(name, 6, 12).cast("long"))
 
 
 def slug(name: Column) -> Column:

@@ -36,7 +36,7 @@ def roles_of(messages: Column) -> Column:
 
 def is_grammatical(messages: Column) -> Column:
     """An optional system turn, then user and assistant in turn; a system turn alone passes, too."""
-    return F.coalesce(roles_of(messages).rlike("^((system,)?user(,assistant,user)*(,assistant)?|system)$"), F.lit(False))
+    return F.coalesce(roles_of(messages).rlike("^((system,)?user(,assistant,user)*(,assistant)?|system)\\z"), F.lit(False))
 
 
 def is_clean(messages: Column) -> Column:

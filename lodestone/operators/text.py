@@ -31,7 +31,7 @@ def content_hash(text: Column) -> Column:
 
 
 def is_hash(value: Column) -> Column:
-    return F.coalesce(value.rlike("^[0-9a-f]{64}$") & (F.length(value) == 64), F.lit(False))
+    return F.coalesce(value.rlike("^[0-9a-f]{64}\\z"), F.lit(False))
 
 
 def split_bucket(digest: Column, policy: SplitPolicy) -> Column:
