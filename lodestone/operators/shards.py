@@ -96,8 +96,9 @@ def length_buckets(df: DataFrame, index: str, length: str, chunk: int, batch: in
 
 
 def retained(checkpoints: DataFrame, latest: int) -> DataFrame:
-    """The `latest` checkpoints by step, and the last one flagged as best."""
-    newest = F.row_number().over(Window.orderBy(F.desc("optimizer_step")))
-    best = F.col("is_best") & (F.row_number().over(Window.partitionBy("is_best").orderBy(F.desc("optimizer_step"))) == 1)
-    rows = checkpoints.withColumn("_n", newest).withColumn("kept_as_best", best)
-    return rows.filter((F.col("_n") <= latest) | F.col("kept_as_best")).drop("_n")
+    """The `latest` checkpoints by step, and the last one flagged as best; each task keeps that many rows at most."""
+    by_step = F.desc("optimizer_step")
+    best = checkpoints.filter("is_best").orderBy(by_step).limit(1).select("optimizer_step", F.lit(True).alias("kept_as_best"))
+    newest = checkpoints.orderBy(by_step).limit(latest)
+    rows = newest.unionByName(checkpoints.join(F.broadcast(best), "optimizer_step", "left_semi")).distinct()  # one row
+    return rows.join(F.broadcast(best), "optimizer_step", "left").withColumn("kept_as_best", F.coalesce("kept_as_best", F.lit(False)))
