@@ -23,7 +23,8 @@ from lodestone.llm import word_bpe
 from lodestone.llm.common import documents, filesystem, pieces, publish, scratch
 
 END = 2
-REMEMBERED = 400_000
+#: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
+REMEMBERED, BATCH = 120_000, 32 << 20
 #: Stands for a null document id in an index file.
 NULL_ID = -(1 << 63)
 
@@ -32,9 +33,8 @@ class WordIds:
     """Texts to ids as bytes, from the tokenizers library, which sees each new word of a batch once.
 
     Words are split here as the file's normaliser and pre-tokenizer would; its model alone, in the library, turns them
-    into ids, many at a time, and the tokens that end words tell them apart. The first `remembered` words stay known, as
-    the frequent ones are among them; later ones are forgotten after their batch. Texts with special strings or rare
-    characters go through the whole file's tokenizer as they are.
+    into ids, many at a time, and the tokens that end words tell them apart. The first `remembered` words and chunks stay
+    known. Texts with special strings or rare characters go through the whole file's tokenizer as they are.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
@@ -48,6 +48,7 @@ class WordIds:
         self.ends = np.zeros(size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(word_bpe.END_OF_WORD)]] = True
         self.symbols = dict(enumerate(word_bpe.byte_symbols()))
+        self.chunks = word_bpe.Chunks(self._chunks, remembered)
 
     def raw(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -66,16 +67,23 @@ class WordIds:
             body = ids.tobytes()
             yield from (body[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
+    def _chunks(self, chunks: list[list[str]]) -> Iterator[bytes]:
         known = self.known
-        split = [None if word_bpe.has_special(t) or not word_bpe.is_plain(t) else word_bpe.split_words(t) for t in texts]
-        new = list(set().union(*filter(None, split)).difference(known))
+        new = list(set().union(*chunks).difference(known))
         known.update(zip(new, self.words(new), strict=True))
-        for text, words in zip(texts, split, strict=True):
-            yield self.raw(self.exact.encode(text, add_special_tokens=False).ids) if words is None else b"".join(map(known.__getitem__, words))
+        for words in chunks:
+            yield b"".join(map(known.__getitem__, words))
         for word in new[max(0, self.most - len(known) + len(new)) :]:
             del known[word]
 
+    def texts(self, texts: list[str]) -> list[bytes]:
+        odd = {i: self.raw(self.exact.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts) if word_bpe.has_special(t) or not word_bpe.is_plain(t)}
+        bounds, numbers, values = self.chunks(["" if i in odd else t for i, t in enumerate(texts)])
+        taken = pa.array(values, pa.large_binary()).take(numbers)
+        ends, body = np.frombuffer(taken.buffers()[1], "<i8")[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, "<i8"), memoryview(taken.buffers()[2] or b"")
+        cuts = ends[bounds]
+        return [odd[i] if i in odd else bytes(body[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
 
 _ids: dict[str, WordIds] = {}
 
@@ -93,7 +101,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
             _ids[tokenizer] = WordIds(tokenizer)
         ids, part = _ids[tokenizer], TaskContext.get().partitionId()
         stop, docs_, sizes, body = ids.raw([end]), [], [], []
-        for batch in pieces(batches):
+        for batch in pieces(batches, BATCH):
             docs_ += batch.column(0).to_pylist()
             for raw in ids.texts(batch.column(1).to_pylist()):
                 body.append(raw + stop)

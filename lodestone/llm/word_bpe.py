@@ -10,6 +10,9 @@ import json
 import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Fixed values of the file format: special strings, the end mark, the white space of its patterns in Latin-1.
@@ -62,3 +65,28 @@ def merge_ranks(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:
         merges = json.load(f)["model"]["merges"]
     return {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): k for k, m in enumerate(merges)}
+
+
+class Chunks:
+    """Plain texts cut at ASCII blanks, which no word spans, with every distinct chunk of a batch looked at once.
+
+    Arrow cuts the texts and numbers the chunks, so Python sees a batch's distinct chunks instead of all its words. What
+    a chunk is worth (its ids, its number of tokens) stays known for the first `remembered` chunks; frequent ones are
+    among them. worth: from a list of lists of words to a value for each.
+    """
+
+    def __init__(self, worth, remembered: int):
+        self.worth, self.most, self.known = worth, remembered, {}
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, list]:
+        """Where each text's chunks begin and end in the batch's, each chunk's number, and the numbered chunks' values."""
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
+        coded = lists.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        values = list(map(self.known.get, names))
+        at = [k for k, v in enumerate(values) if v is None]
+        for k, v in zip(at, self.worth([_plain_words(names[k]) for k in at]), strict=True):
+            values[k] = v
+            if len(self.known) < self.most:
+                self.known[names[k]] = v
+        return lists.offsets.to_numpy(), coded.indices, values
