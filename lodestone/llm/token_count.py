@@ -1,6 +1,6 @@
 """Token counts by heap-and-linked-list byte-pair merging: initial symbols less merges, no ids.
 
-Words repeat, so each Python worker remembers the counts of up to `remembered` words.
+Words repeat, so each Python worker remembers the counts of up to `remembered` words and chunks.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from lodestone.llm import word_bpe
 from lodestone.llm.common import documents, pieces
 
 LIMIT = 2048
-REMEMBERED = 400_000
+#: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
+REMEMBERED, BATCH = 120_000, 32 << 20
 
 
 class WordCounts(dict):
@@ -25,6 +27,7 @@ class WordCounts(dict):
     def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
         self.most = remembered
+        self.chunks = word_bpe.Chunks(lambda chunks: [sum(map(self.__getitem__, words)) for words in chunks], remembered)
         self.symbols = word_bpe.byte_symbols()
         names: dict[str, int] = {}
         number = lambda s: names.setdefault(s, len(names))
@@ -71,6 +74,16 @@ class WordCounts(dict):
         found = word_bpe.parts(text)
         return len(found) - 1 + sum(sum(map(self.__getitem__, word_bpe.split_words(p))) for p in found)
 
+    def texts(self, texts: list[str]) -> np.ndarray:
+        """The tokens of each text: the sums of its chunks' counts; one by one where a text is odd."""
+        odd = [i for i, t in enumerate(texts) if word_bpe.has_special(t) or not word_bpe.is_plain(t)]
+        skip = set(odd)
+        bounds, numbers, values = self.chunks(["" if i in skip else t for i, t in enumerate(texts)])
+        upto = np.r_[0, np.cumsum(np.array(values, np.int64)[numbers.to_numpy()])] if values else np.zeros(1, np.int64)
+        out = np.diff(upto[bounds])
+        out[odd] = [self.text(texts[i]) for i in odd]
+        return out
+
 
 _counts: dict[str, WordCounts] = {}
 
@@ -86,9 +99,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _counts:
             _counts[path] = WordCounts(path)
-        tokens = _counts[path].text
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(tokens, batch.column(2).to_pylist()), pa.int64())], names=["_id", "n_bytes", "n_tokens"])
+        tokens = _counts[path].texts
+        for batch in pieces(batches, BATCH):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens(batch.column(2).to_pylist()))], names=["_id", "n_bytes", "n_tokens"])
 
     rows = documents(docs, id_col, text_col).select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), "_text")
     out = rows.mapInArrow(count, "_id long, n_bytes long, n_tokens long")
