@@ -67,7 +67,17 @@ def publish(path: str, data: bytes | memoryview) -> None:
     part = f"{inner}.{uuid.uuid4().hex}.tmp"
     with where.open_output_stream(part) as out:
         out.write(data)
-    where.move(part, inner)
+    settle(where, part, inner)
+
+
+def settle(where: pafs.FileSystem, part: str, inner: str) -> None:
+    """Give a finished file its name; where another run of the task was first and names can't be taken over, its file stays."""
+    try:
+        where.move(part, inner)
+    except OSError:
+        if where.get_file_info(inner).type != pafs.FileType.File or where.get_file_info(inner).size != where.get_file_info(part).size:
+            raise
+        where.delete_file(part)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> bool:

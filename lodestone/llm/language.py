@@ -143,12 +143,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from a bounded sample: `per_language` rows of each language of docs, drawn by a hash of id and text.
 
     Rows without text, letters or language are left aside. With more than most_rows / per_language languages each gets
-    fewer rows. None if no row is left. The sample is drawn in two steps, by a threshold from the languages' counts and
+    fewer rows, two at least. None if no row is left. The sample is drawn in two steps, by a threshold from the languages' counts and
     by rank, so a language with most of the rows doesn't meet in one task.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("id")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows // 2)  # of more languages the rarest aren't learnt
+    counts = {r["lang"]: r["count"] for r in counts.collect()}
     if not counts:
         return None
     per_language = max(2, min(per_language, most_rows // len(counts)))

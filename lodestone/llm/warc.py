@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from lodestone.llm.common import filesystem, pieces, saved, scratch, small
+from lodestone.llm.common import filesystem, pieces, saved, scratch, settle, small
 from lodestone.ship import ship
 
 LEAST = 100
@@ -93,7 +93,7 @@ def _writer(path: str, date: str):
                 for page, url, html, digest, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     out.write(member(_page_record(f"{part}/{n}", page, url, html.encode(), digest, to, date)))
                     n += 1
-        where.move(temp, own)
+        settle(where, temp, own)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["part", "records"])
 
     return write

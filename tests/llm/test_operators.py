@@ -490,3 +490,40 @@ def test_pipeline(spark, sf_dir):
     check_pieces(packed.collect(), rows, 2048)
     run = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in run.select("doc_id").distinct().collect()} == {d for d, _ in rows} and bad
+
+
+def test_stages_on_odd_rows(spark, sf_dir, docs, empty):
+    """Each stage alone: null, empty and long texts, repeats and clashing columns; and an empty table."""
+    import corpus_pipeline
+
+    kept = {"language": [1, 1, 5, None, 7, 8], "near_duplicates": [1, 2, 5, 7, 9, None, None], "decontamination": [r[0] for r in ROWS]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        if name in kept:
+            assert out.columns == docs.columns and Counter(r["doc_id"] for r in out.collect()) == Counter(kept[name]), name
+        else:
+            assert out.count() > 0
+        assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_rest_does_without(tmp_path):
+    """Without the two folders and the pipeline the entry still imports and has the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[2]
+    shutil.copytree(top / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_nothing_else_imports_this():
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parents[2] / "lodestone"
+    for path in top.rglob("*.py"):
+        if "llm" not in path.parts:
+            assert not re.search(r"^\s*(from|import)\s+lodestone\.llm", path.read_text(), re.M), path
