@@ -12,7 +12,7 @@ from lodestone.operators import shards, text
 from lodestone.plans.text import _SPLIT, POLICY
 from lodestone.session import table
 
-CAP, LENGTH, SEED, WORLD = 120_000, 4096, 19, 3
+CAP, LENGTH, SEED, WORLD = 400_000, 4096, 19, 3
 
 _PACKED = f"""
     {_SPLIT.strip()}, n AS (SELECT split, doc_id, bytes + 1 AS tokens, row_number() OVER (PARTITION BY split ORDER BY doc_id) AS i FROM split),
