@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.chat import SPECIAL_IDS
 from lodestone.operators.shards import byte_tokens
+from lodestone.operators.tensors import let
 from lodestone.ship import ship
 
 BYTES_FROM, MERGES_FROM, MOST_IDS = 8, 264, 1 << 16
@@ -52,11 +53,11 @@ def segment_frequencies(docs: DataFrame, text: str, mode: str = "gpt2") -> DataF
 
 def pair_counts(frequencies: DataFrame) -> DataFrame:
     """(left, right, count): adjacent ids of all segments, by the segments' frequencies."""
-    ids = byte_tokens(F.col("segment"))
-    rows = frequencies.select("frequency", ids.alias("ids")).filter(F.size("ids") > 1)
-    n = F.size("ids")
-    pairs = F.arrays_zip(F.slice("ids", F.lit(1), n - 1).alias("left"), F.slice("ids", F.lit(2), n - 1).alias("right"))
-    return rows.select("frequency", F.explode(pairs).alias("p")).groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("frequency").alias("count"))
+    both = lambda ids: F.zip_with(F.slice(ids, F.lit(1), F.size(ids) - 1), F.slice(ids, F.lit(2), F.size(ids) - 1), lambda x, y: F.struct(x.alias("left"), y.alias("right")))
+    rows = frequencies.filter(F.octet_length("segment") > 1)
+    # let and explode_outer: the ids of a segment are worked out once, and not again in a filter that Spark infers
+    rows = rows.select("frequency", F.explode_outer(let(byte_tokens(F.col("segment")), both)).alias("p"))
+    return rows.groupBy(F.col("p.left").alias("left"), F.col("p.right").alias("right")).agg(F.sum("frequency").alias("count"))
 
 
 def best_pair(counts: DataFrame) -> DataFrame:
