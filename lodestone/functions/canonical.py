@@ -19,6 +19,11 @@ def digest(value: object) -> str:
     return hashlib.sha256(canonical(value).encode()).hexdigest()
 
 
+def config_digest(config: dict, defaults: dict, fixed: dict | None = None) -> str:
+    """The identity of a configuration: keys that are as by default don't count, and `fixed` ones count as given (a rank, say)."""
+    return digest({k: v for k, v in (config | (fixed or {})).items() if k not in defaults or defaults[k] != v})
+
+
 def _canonical_lines(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for lines in batches:
         yield pa.array([None if x is None else _is_canonical(x) for x in lines.to_pylist()], pa.bool_())

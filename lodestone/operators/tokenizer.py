@@ -65,6 +65,13 @@ def best_pair(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("count"), "left", "right").limit(1)
 
 
+def byte_symbols() -> list[tuple[int, str]]:
+    """(byte, printable character): itself where Latin-1 prints it, else the next character from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [(b, chr(b) if b in shown else chr(0x100 + hidden.index(b))) for b in range(256)]
+
+
 def merged(ids: Column, left: int, right: int, new: int) -> Column:
     """Ids with each occurrence of the pair replaced, from the left, without overlap."""
     start = F.array().cast("array<int>")
@@ -200,9 +207,11 @@ class _Segments:
                 heapq.heappush(self.heap, (-self.counts[p], p))
 
 
-def train(docs: DataFrame, text: str, size: int, least: int = 2, mode: str = "gpt2", first: Sequence[tuple[int, int]] = (), most_segments: int = 5_000_000, on_merge: Callable[[tuple, int], None] | None = None) -> BytePairs:
+def train(docs: DataFrame, text: str, size: int, least: int = 2, mode: str = "gpt2", first: Sequence[tuple[int, int]] = (), most_segments: int = 5_000_000, on_merge: Callable[[tuple, int], None] | None = None, pause_after: int | None = None) -> BytePairs:
     """Merges up to a vocabulary of `size` or until the best pair is rarer than `least`; `first` are replayed.
 
+    pause_after: at most so many new merges; their result goes in as `first` to carry on, and a finished one stays as it is.
+
     The corpus is counted by Spark; the greedy loop runs on the distinct segments, on the driver, as each merge depends on
     the last. More than `most_segments` of them are an error rather than a sample.
     """
@@ -216,7 +225,8 @@ def train(docs: DataFrame, text: str, size: int, least: int = 2, mode: str = "gp
     merges = list(first)
     for k, pair in enumerate(merges):
         segments.merge(pair, MERGES_FROM + k)
-    while MERGES_FROM + len(merges) < size and (found := segments.best()) and found[1] >= least:
+    stop = size if pause_after is None else min(size, MERGES_FROM + len(merges) + pause_after)
+    while MERGES_FROM + len(merges) < stop and (found := segments.best()) and found[1] >= least:
         segments.merge(found[0], MERGES_FROM + len(merges))
         merges.append(found[0])
         if on_merge:

@@ -112,3 +112,21 @@ def template_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of the chat template: SHA-256 of its canonical JSON."""
     template = {"special_tokens": SPECIAL_IDS, "turn": "<|{role}|>{content}<|end|>", "first": "<|bos|>", "last": "<|eos|>", "version": 1}
     return spark.createDataFrame([(canonical.canonical(template), canonical.digest(template))], "template string, sha256 string")
+
+
+@query("""
+    WITH b AS (SELECT i::INTEGER AS byte, i BETWEEN 33 AND 126 OR i BETWEEN 161 AND 172 OR i BETWEEN 174 AND 255 AS shown FROM range(0, 256) t(i)),
+         c AS (SELECT byte, CASE WHEN shown THEN byte ELSE 255 + row_number() OVER (PARTITION BY shown ORDER BY byte) END AS point FROM b)
+    SELECT byte, chr(point::INTEGER) AS symbol, (row_number() OVER (ORDER BY point) - 1)::INTEGER AS place FROM c""")
+def byte_symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes, the printable characters that stand for them, and their places in the order of those."""
+    rows = tokenizer.byte_symbols()
+    place = {s: k for k, s in enumerate(sorted(s for _, s in rows))}
+    return spark.createDataFrame([(b, s, place[s]) for b, s in rows], "byte int, symbol string, place int")
+
+
+@query()
+def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations whose rank is left out of their identity: all ranks have one hash."""
+    own = [{"seed": s, "layers": 6, "rank": r, "compile": False} for s in (1, 2) for r in (0, 1)]
+    return spark.createDataFrame([(c["seed"], c["rank"], canonical.config_digest(c, {"compile": False}, {"rank": 0})) for c in own], "seed int, rank int, sha256 string")

@@ -178,6 +178,9 @@ def test_training_is_greedy(spark):
     assert list(pairs.merges) == naive_merges(freqs, 264 + 30, 1)
     again = tokenizer.train(df, "text", 264 + 30, 1, first=pairs.merges[:5])
     assert again.merges == pairs.merges
+    part = tokenizer.train(df, "text", 264 + 30, 1, pause_after=4)
+    assert len(part.merges) == 4 and tokenizer.train(df, "text", 264 + 30, 1, first=part.merges).merges == pairs.merges
+    assert tokenizer.train(df, "text", 264 + len(pairs.merges), 1, first=pairs.merges, pause_after=9).merges == pairs.merges
     abac = tokenizer.train(spark.createDataFrame([("abac",)], "text string"), "text", 265, 1)
     assert abac.merges == ((8 + 97, 8 + 98),)
 
@@ -258,6 +261,11 @@ def test_canonical(spark):
     assert [r[0] for r in lines.select(canonical.is_canonical(F.col("l"))).collect()] == [True, False, False, False, None]
 
 
+def test_config_identity():
+    one = canonical.config_digest({"a": 1, "b": False, "rank": 3}, {"b": False}, {"rank": 0})
+    assert one == canonical.config_digest({"a": 1, "rank": 0}, {"b": False}) != canonical.config_digest({"a": 1, "b": True, "rank": 0}, {"b": False})
+
+
 def test_step_ids(spark):
     df = spark.createDataFrame([("step-000000000012",), ("step-12",), ("x",), (None,)], "s string")
     assert [r[0] for r in df.select(labels.step_of(F.col("s"))).collect()] == [12, None, None, None]
