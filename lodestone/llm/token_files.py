@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import mmap
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import documents, filesystem, pieces, publish, scratch
+from lodestone.llm.common import documents, filesystem, pieces, publish, scratch, settle
 
 END = 2
 #: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
@@ -100,14 +101,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         if tokenizer not in _ids:
             _ids[tokenizer] = WordIds(tokenizer)
         ids, part = _ids[tokenizer], TaskContext.get().partitionId()
-        stop, docs_, sizes, body = ids.raw([end]), [], [], []
-        for batch in pieces(batches, BATCH):
-            docs_ += batch.column(0).to_pylist()
-            for raw in ids.texts(batch.column(1).to_pylist()):
-                body.append(raw + stop)
-                sizes.append(len(body[-1]) // ids.kind.itemsize)
-        if docs_:
-            publish(f"{path}/part-{part:05d}.bin", b"".join(body))
+        stop, docs_, sizes = ids.raw([end]), [], []
+        where, inner = filesystem(path)
+        where.create_dir(inner, recursive=True)
+        own = f"{inner}/part-{part:05d}.bin"
+        temp = f"{own}.{uuid.uuid4().hex}.tmp"
+        with where.open_output_stream(temp) as out:
+            for batch in pieces(batches, BATCH):
+                docs_ += batch.column(0).to_pylist()
+                encoded = [raw + stop for raw in ids.texts(batch.column(1).to_pylist())]
+                sizes += [len(raw) // ids.kind.itemsize for raw in encoded]
+                out.write(b"".join(encoded))
+        if not docs_:
+            where.delete_file(temp)
+        else:
+            settle(where, temp, own)
             publish(f"{path}/part-{part:05d}.idx", np.array([len(docs_), 0, *accumulate(sizes), *(NULL_ID if d is None else d for d in docs_)], "<i8").tobytes())
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([len(docs_)], pa.int64()), "tokens": pa.array([sum(sizes)], pa.int64()), "width": pa.array([ids.kind.itemsize], pa.int64())})
 
