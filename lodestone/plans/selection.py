@@ -12,9 +12,9 @@ from lodestone.session import table
 _VALID = "n_chars >= 200 and lang is not null"
 _QUOTAS = """
     src AS (SELECT source, count(*) AS available_examples, CASE WHEN source IN ('src0', 'src1') THEN 0.25 WHEN source < 'src2' THEN 0.5 ELSE 1.0 END AS weight FROM documents GROUP BY source),
-    m AS (SELECT *, 300 * (available_examples * weight::DECIMAL(20,10))::DECIMAL(38,6) / sum(available_examples * weight::DECIMAL(20,10)) OVER () AS exact FROM src),
+    m AS (SELECT *, 100 * (available_examples * weight::DECIMAL(20,10))::DECIMAL(38,6) / sum(available_examples * weight::DECIMAL(20,10)) OVER () AS exact FROM src),
     f AS (SELECT *, floor(exact)::BIGINT AS fl, exact - floor(exact) AS rest FROM m),
-    quotas AS (SELECT source, available_examples, weight::DOUBLE AS weight, (fl + CASE WHEN row_number() OVER (ORDER BY round(rest::DOUBLE, 9) DESC, source) <= 300 - sum(fl) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f)"""
+    quotas AS (SELECT source, available_examples, weight::DOUBLE AS weight, (fl + CASE WHEN row_number() OVER (ORDER BY round(rest::DOUBLE, 9) DESC, source) <= 100 - sum(fl) OVER () THEN 1 ELSE 0 END)::BIGINT AS quota FROM f)"""
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,14 +29,14 @@ def hash_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_QUOTAS} SELECT source, available_examples, weight, quota FROM quotas")
 def largest_remainder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.largest_remainder(_sources(spark, sf_dir), 300, "source")
+    return selection.largest_remainder(_sources(spark, sf_dir), 100, "source")
 
 
 @query(f"""
     WITH {_QUOTAS}, r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents WHERE n_chars >= 200 AND lang IS NOT NULL)
     SELECT source, doc_id, rank::INTEGER AS rank, quota FROM r JOIN quotas USING (source) WHERE rank <= quota""")
 def quota_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotas = selection.largest_remainder(_sources(spark, sf_dir), 300, "source")
+    quotas = selection.largest_remainder(_sources(spark, sf_dir), 100, "source")
     return selection.first_valid(table(spark, sf_dir, "documents"), quotas, "source", "doc_id", F.expr(_VALID)).select("source", "doc_id", "rank", "quota")
 
 
@@ -46,7 +46,7 @@ def quota_first_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
          c AS (SELECT source, count(*) AS selected, max(doc_id) AS last, any_value(quota) AS quota FROM r JOIN quotas USING (source) WHERE valid AND rank <= quota GROUP BY source)
     SELECT source, selected, count(*) AS scanned, count(*) FILTER (WHERE NOT valid) AS rejected FROM d JOIN c USING (source) WHERE selected < quota OR doc_id <= last GROUP BY source, selected""")
 def quota_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotas = selection.largest_remainder(_sources(spark, sf_dir), 300, "source")
+    quotas = selection.largest_remainder(_sources(spark, sf_dir), 100, "source")
     return selection.quota_scan(table(spark, sf_dir, "documents"), quotas, "source", "doc_id", F.expr(_VALID))
 
 
