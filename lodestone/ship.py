@@ -9,10 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Rows go to Python in batches of this many bytes at most, however long a text is; Spark's own bound is 64 MB.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Python workers on other machines, or with another working folder, then find the package, too."""
+    """Python workers on other machines, or with another working folder, then find the package, too; batches get small."""
+    now = spark.conf.get(_BATCH[0], "64m").strip().lower().removesuffix("b")
+    if int(now[:-1] if now[-1].isalpha() else now) << {"k": 10, "m": 20, "g": 30}.get(now[-1], 0) > _BATCH[1]:
+        spark.conf.set(_BATCH[0], str(_BATCH[1]))
     app = spark.sparkContext.applicationId
     if app not in _sent:
         here = os.path.dirname(os.path.abspath(__file__))
