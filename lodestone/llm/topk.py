@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+from lodestone.llm.common import saved, tidied
 from lodestone.ship import ship
 
 K, SCALE, EVERY = 10, 1024, 100
@@ -55,6 +55,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def reached(square: float, q_square: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The distance that a score stands for, with room for the rounding of squares as large as the norms'."""
+    whole = np.maximum(square + q_square - 2 * score, 0)
+    return np.sqrt(whole) * (1 + _MARGIN) + _MARGIN * (1 + np.sqrt(square + q_square))
+
+
 class Best:
     """Each query's k best (score, id) so far, ties to the smaller id."""
 
@@ -95,7 +101,7 @@ def search(qid: np.ndarray, q: np.ndarray, q_dist: np.ndarray, floor: np.ndarray
     alive = np.arange(len(qid))
     for step in range(len(cuts)):
         score = np.maximum(best.bound()[alive], floor[alive]).astype(np.float64)
-        limit = np.sqrt(np.maximum(square + q_square[alive] - 2 * score, 0)) * (1 + _MARGIN) + _MARGIN
+        limit = reached(square, q_square[alive], score)
         limit[score <= np.iinfo(np.int64).min / 2] = np.inf
         alive = alive[reach[alive, turn[alive, step]] <= limit]  # the next annuli are farther still
         if not len(alive):
@@ -152,8 +158,8 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
         return run
 
     schema = "id long, v array<long>, dim int, pivot int, dist double"
-    keyed = saved(base.mapInArrow(key(False), schema), "vectors")
-    asked = saved(asked.mapInArrow(key(True), schema), "queries")
+    keyed = saved(base.mapInArrow(tidied(key(False)), schema), "vectors")
+    asked = saved(asked.mapInArrow(tidied(key(True)), schema), "queries")
     stats = [r.asDict() for r in keyed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()]  # a row a pivot
     blocks = max(1, -(-asked.count() // block))
     parts = {(r["dim"], r["pivot"]): max(1, -(-r["n"] // segment)) for r in stats}
@@ -166,23 +172,19 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))) if blocks > 1 else F.lit(0))
     cell = ["dim", "pivot", "segment", "block"]
 
-    def meet():
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not left.num_rows or not right.num_rows:
-                return _FOUND.empty_table()
-            dim, pivot = left["dim"][0].as_py(), left["pivot"][0].as_py()
-            marks, most = shared.value[dim]
-            q, qid = _matrix(left["v"], dim), left["id"].to_numpy()
-            floor = left["floor"].to_numpy()
-            d = _distances(np.c_[q.astype(np.float64), np.zeros(len(q))], marks[pivot : pivot + 1])[:, 0]
-            best = search(qid, q, d, floor, right["id"].to_numpy(), _matrix(right["v"], dim), right["dist"].to_numpy(), most, k)
-            return _emit(qid, best, floor)
-
-        return run
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
+        dim, pivot = left["dim"][0].as_py(), left["pivot"][0].as_py()
+        marks, most = shared.value[dim]
+        q, qid, floor = _matrix(left["v"], dim), left["id"].to_numpy(), left["floor"].to_numpy()
+        d = _distances(np.c_[q.astype(np.float64), np.zeros(len(q))], marks[pivot : pivot + 1])[:, 0]
+        best = search(qid, q, d, floor, right["id"].to_numpy(), _matrix(right["v"], dim), right["dist"].to_numpy(), most, k)
+        return _emit(qid, best, floor)
 
     least = F.lit(-(1 << 63)).cast("long")
     near = asked.withColumn("segment", F.lit(0)).withColumn("floor", least)
-    found = near.groupBy(*cell).cogroup(rows.filter("segment = 0").groupBy(*cell)).applyInArrow(meet(), "query_id long, vec_id long, score long")
+    found = near.groupBy(*cell).cogroup(rows.filter("segment = 0").groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score long")
     bounds = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(F.col("n") == k).select("query_id", "floor")
     asked = saved(asked.join(bounds, asked["id"] == bounds["query_id"], "left").withColumn("floor", F.coalesce("floor", least)).drop("query_id", "pivot", "dist"), "asked")
     listed = spark.sparkContext.broadcast({dim: [(r["pivot"], parts[dim, r["pivot"]], r["low"], r["high"]) for r in stats if r["dim"] == dim] for dim in index})
@@ -199,7 +201,7 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
                 marks, most = shared.value[dim]
                 q, floor = _matrix(part["v"], dim).astype(np.float64), part["floor"].to_numpy().astype(np.float64)
                 d = _distances(np.c_[q, np.zeros(len(q))], marks)
-                limit = np.sqrt(np.maximum(most + (q * q).sum(axis=1) - 2 * floor, 0)) * (1 + _MARGIN) + _MARGIN
+                limit = reached(most, (q * q).sum(axis=1), floor)
                 for pivot, n, low, high in listed.value[dim]:
                     at = np.flatnonzero(np.maximum(low - d[:, pivot], d[:, pivot] - high) <= limit)
                     for s in range(n):
@@ -208,7 +210,7 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
                             own = own.append_column("pivot", pa.array(np.full(len(at), pivot), pa.int32())).append_column("segment", pa.array(np.full(len(at), s), pa.int32()))
                             yield from own.select(["id", "v", "dim", "block", "floor", "pivot", "segment"]).combine_chunks().to_batches()
 
-    wide = asked.select("id", "v", "dim", "block", "floor").mapInArrow(route, "id long, v array<long>, dim int, block int, floor long, pivot int, segment int")
-    found = wide.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(meet(), "query_id long, vec_id long, score long")
+    wide = asked.select("id", "v", "dim", "block", "floor").mapInArrow(tidied(route), "id long, v array<long>, dim int, block int, floor long, pivot int, segment int")
+    found = wide.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
