@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir
+from lodestone.llm.common import shared_dir, tidied
 from lodestone.ship import ship
 
 ROLES = ("system", "user", "assistant")
@@ -185,7 +185,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         if n:
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "first": head[0], "last": tail[0], "one": n == 1, "head": head[1], "tail": machine.matrix(tail[1])}], schema=pa.schema([("part", pa.int32()), ("first", pa.int64()), ("last", pa.int64()), ("one", pa.bool_()), ("head", pa.list_(pa.list_(pa.int64()))), ("tail", pa.list_(pa.list_(pa.int64())))]))
 
-    known = borders(sorted((r.asDict() for r in rows.select("_conv", "_turn", "_role", F.lit("").alias("_text")).mapInArrow(summarise, _SUMMARY).collect()), key=lambda r: r["part"]))
+    known = borders(sorted((r.asDict() for r in rows.select("_conv", "_turn", "_role", F.lit("").alias("_text")).mapInArrow(tidied(summarise), _SUMMARY).collect()), key=lambda r: r["part"]))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entry, leave, goes_on = known.get(TaskContext.get().partitionId(), (START, None, False))
@@ -206,7 +206,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         if out:
             yield _rows(out)
 
-    out = rows.mapInArrow(repair, "_conv long, _turn long, role string, action string, inserted string, cost long, rendered string")
+    out = rows.mapInArrow(tidied(repair), "_conv long, _turn long, role string, action string, inserted string, cost long, rendered string")
     return out.select(F.col("_conv").alias(id_col), F.col("_turn").alias(turn_col), "role", "action", "inserted", "cost", "rendered")
 
 

@@ -3,31 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import shared_dir
 from lodestone.ship import ship
+from lodestone.sources.files import filesystem
 
 #: Bytes of a table that may be broadcast where the session's own threshold says nothing.
 BROADCAST_BYTES = 10 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of this machine only where the setting is missing, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), f"lodestone-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def scratch(spark: SparkSession, tag: str) -> str:
     """A folder name below the shared folder that no other run has; it goes when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
@@ -51,15 +44,6 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system for a URI or plain path, and the path inside it."""
-    if "://" not in path and not path.startswith("file:"):
-        return pafs.LocalFileSystem(), path
-    if path.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
 def publish(path: str, data: bytes | memoryview) -> None:
     """Write a file under another name and rename it, so that a repeated task leaves whole files only."""
     where, inner = filesystem(path)
@@ -106,5 +90,38 @@ def pieces(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[p
             yield batch.slice(at, step)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Batches put together to about `least` bytes."""
+    held, n = [], 0
+    for batch in pieces(batches, least):
+        held.append(batch)
+        n += batch.nbytes
+        if n >= least:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and then what it has freed goes back to the system: workers stay alive and share their machine with others."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, pieces, saved
+from lodestone.llm.common import documents, give_back, pieces, saved, tidied
 from lodestone.ship import ship
 
 WINDOW = 10
@@ -112,7 +112,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if k:
             rows = saved(rows, "decontamination")  # each pass loads one automaton
         key, last = hashlib.sha256(repr((size, patterns)).encode()).hexdigest(), k == len(passes) - 1
-        rows = rows.mapInArrow(_scan(key, context.broadcast(patterns), last), _FOUND if last else rows.schema)
+        rows = rows.mapInArrow(tidied(_scan(key, context.broadcast(patterns), last)), _FOUND if last else rows.schema)
     return rows.select(F.col("_id").alias(id_col), "n_words", "n_hit", "items", "spans", (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -160,6 +160,7 @@ def _hit(key: str, shared):
         made, _ = automaton(shared.value, key)
         for texts in batches:
             yield pa.array([bool(hits(t.as_buffer().to_pybytes(), made)[1]) for t in texts.cast(pa.binary())], pa.bool_())
+        give_back()
 
     return hit
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, pieces
+from lodestone.llm.common import documents, give_back, pieces, tidied
 from lodestone.ship import ship
 
 #: Rows of each language in the fitting sample, and how many of them are landmarks. All languages together: MOST_ROWS.
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     draw = F.xxhash64(F.col("id"), F.col("text"), F.lit("language"))
     drawn = rows.withColumn("draw", draw).filter((F.pmod("draw", F.lit(1 << 30)) < shares[F.col("lang")] * (1 << 30)) & has_letter(F.col("text")))
     drawn = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))).filter(F.col("rank") <= per_language)
-    sample = sorted(drawn.select("lang", "text", "draw").mapInArrow(_distinct, "lang string, grams array<long>, draw long").collect(), key=lambda r: (r["lang"], r["draw"], len(r["grams"])))
+    sample = sorted(drawn.select("lang", "text", "draw").mapInArrow(tidied(_distinct), "lang string, grams array<long>, draw long").collect(), key=lambda r: (r["lang"], r["draw"], len(r["grams"])))
     if not sample:
         return None
     languages = sorted({r["lang"] for r in sample})
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     text = F.col(text_col).cast("string")
     rows = documents(docs, id_col, text_col, F.coalesce(has_letter(text), F.lit(False)).alias("_seen"), *more)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_text", "_seen"))
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(tidied(run), f"{schema}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
 def predicted(model: Model | None, spark: SparkSession, text: Column) -> Column:
@@ -204,6 +204,7 @@ def predicted(model: Model | None, spark: SparkSession, text: Column) -> Column:
                 part = texts[at : at + 256].to_pylist()
                 out += [m.languages[k] for k in m.score(part).argmax(axis=1)] if m else [UNKNOWN] * len(part)
             yield pa.array(out, pa.string())
+        give_back()
 
     text = text.cast("string")
     return F.when(F.coalesce(has_letter(text), F.lit(False)), run(F.coalesce(text, F.lit("")))).otherwise(F.lit(UNKNOWN))

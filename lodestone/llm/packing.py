@@ -12,6 +12,7 @@ import base64
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, pieces, saved
+from lodestone.llm.common import documents, pieces, saved, tidied
 from lodestone.llm.word_bpe import is_plain
 
 LENGTH, END, WINDOWS, GROUP = 2048, 1, 64, 256
@@ -35,10 +36,7 @@ class ByteEncoder:
     """
 
     def __init__(self, json_path: str, ranks_path: str | None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(json_path)
-        self.fast = None
+        self.path, self.fast = json_path, None
         if ranks_path:
             import public_tokenizers
             import tiktoken
@@ -47,6 +45,12 @@ class ByteEncoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding(json_path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or _SPECIAL in text or not is_plain(text):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -182,7 +186,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, id_col:
                 seq -= 1
         return pa.Table.from_batches([_batch(out, keep_ids)])
 
-    made = saved(documents(docs, id_col, text_col).mapInArrow(first, _SCHEMA), "packed")
+    made = saved(documents(docs, id_col, text_col).mapInArrow(tidied(first), _SCHEMA), "packed")
     # at most one incomplete window of each partition; `group` partitions at a time
     merged = made.filter("not whole").groupBy(F.expr(f"shiftright(sequence_id, 32) div {group}").alias("_group")).applyInArrow(last, _SCHEMA)
     out = made.filter("whole").unionByName(merged)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, pieces, saved, small
+from lodestone.llm.common import documents, pieces, saved, small, tidied
 from lodestone.llm.components import components
 
 SHINGLE, SEED, DISTANCE, MOST = 3, 42, 2, 256
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["_id", "fp"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "_id long, fp long")
+    return documents(docs, id_col, text_col).mapInArrow(tidied(run), "_id long, fp long")
 
 
 def _links(most: int):
@@ -115,7 +115,7 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     upper = "((fp >> 32) & 4294967295L)"
     keys = F.expr(f"concat(transform(sequence(0, 31), i -> shiftleft(cast(i as long), 32) | ({upper} & ~shiftleft(1L, i))), array(shiftleft(32L, 32) | (fp & 4294967295L)))")
     index = fps.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    found = saved(index.mapInArrow(_links(most), "a long, b long"), "links")
+    found = saved(index.mapInArrow(tidied(_links(most)), "a long, b long"), "links")
     crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
     near = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return near if crowded.isEmpty() else near.unionByName(_pairs_of_bits(crowded))

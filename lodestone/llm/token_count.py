@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import documents, pieces
+from lodestone.llm.common import documents, gathered, tidied
 
 LIMIT = 2048
 #: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
@@ -100,9 +100,9 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         if path not in _counts:
             _counts[path] = WordCounts(path)
         tokens = _counts[path].texts
-        for batch in pieces(batches, BATCH):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens(batch.column(2).to_pylist()))], names=["_id", "n_bytes", "n_tokens"])
+        for batch in gathered(batches, BATCH):
+            yield from pa.Table.from_arrays([batch.column(0), batch.column(1), pa.array(tokens(batch.column(2).to_pylist()))], names=["_id", "n_bytes", "n_tokens"]).to_batches()
 
     rows = documents(docs, id_col, text_col).select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), "_text")
-    out = rows.mapInArrow(count, "_id long, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidied(count), "_id long, n_bytes long, n_tokens long")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import word_bpe
-from lodestone.llm.common import documents, filesystem, pieces, publish, scratch, settle
+from lodestone.llm.common import documents, filesystem, gathered, publish, scratch, settle, tidied
 
 END = 2
 #: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
@@ -107,7 +107,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
         own = f"{inner}/part-{part:05d}.bin"
         temp = f"{own}.{uuid.uuid4().hex}.tmp"
         with where.open_output_stream(temp) as out:
-            for batch in pieces(batches, BATCH):
+            for batch in gathered(batches, BATCH):
                 docs_ += batch.column(0).to_pylist()
                 encoded = [raw + stop for raw in ids.texts(batch.column(1).to_pylist())]
                 sizes += [len(raw) // ids.kind.itemsize for raw in encoded]
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
 
     order = (F.col("_id").asc_nulls_first(), F.col("_hash"), F.col("_text"))
     rows = documents(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("_hash")).repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("_id", "_text")
-    totals = sorted(rows.mapInArrow(write, "part long, docs long, tokens long, width long").collect())  # one row a part
+    totals = sorted(rows.mapInArrow(tidied(write), "part long, docs long, tokens long, width long").collect())  # one row a part
     bases = [0, *accumulate(t["tokens"] for t in totals)]
     parts = [t.asDict() | {"base": base} for t, base in zip(totals, bases, strict=False)]
     publish(f"{path}/manifest.json", json.dumps({"format": "token-files", "version": 1, "end": end, "tokens": bases[-1], "parts": parts}).encode())
@@ -158,7 +158,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", keep_ids
 
     rows = [(p["part"], p["width"], p["base"]) for p in parts]
     listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "part long, width long, base long")  # a task a part
-    return listed.mapInArrow(read, "_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("_id", id_col)
+    return listed.mapInArrow(tidied(read), "_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("_id", id_col)
 
 
 def encode_to_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, keep_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from lodestone.llm.common import filesystem, pieces, saved, scratch, settle, small
+from lodestone.llm.common import filesystem, pieces, saved, scratch, settle, small, tidied
 from lodestone.ship import ship
 
 LEAST = 100
@@ -75,7 +75,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         rows = rows.withColumn("_to", F.lit(None).cast("long"))
     rows = rows.select("_id", "_url", "_html", "_digest", F.when(~F.col("_to").eqNullSafe(F.col("_id")), F.col("_to")).alias("_to"))
 
-    rows.mapInArrow(_writer(path, date), "part long, records long").write.format("noop").mode("overwrite").save()
+    rows.mapInArrow(tidied(_writer(path, date)), "part long, records long").write.format("noop").mode("overwrite").save()
     where, inner = filesystem(path)
     where.create_dir(inner, recursive=True)
     return path
