@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import saved
+
 
 def ranked(df: DataFrame, loss: str, name: str, position: str = "position") -> DataFrame:
     """Positions from 1 by loss, ties by name; for summaries, a row a variant."""
@@ -122,14 +124,23 @@ def first_failure(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def lineage(edges: DataFrame, child: str, parent: str, start: Column) -> DataFrame:
-    """(origin, depth, node): the chain of parents of each child for which `start` holds, by a recursive query."""
-    edges.withColumn("_start", start).select(F.col(child).alias("c"), F.col(parent).alias("p"), "_start").createOrReplaceTempView("_lineage_edges")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE chain(origin, depth, node) AS (
-            SELECT c, 0, c FROM _lineage_edges WHERE _start
-            UNION ALL SELECT origin, depth + 1, p FROM chain JOIN _lineage_edges ON node = c WHERE p IS NOT NULL)
-        SELECT origin, depth, node FROM chain""")
+def lineage(edges: DataFrame, child: str, parent: str, start: Column | None = None) -> DataFrame:
+    """(origin, depth, node): the chain of parents of each child for which `start` holds, of every child without it.
+
+    Any depth, in as many rounds as its logarithm: round k knows the ancestors 2^k steps up and carries the rows found so
+    far, which are less than 2^k deep, on by that many. As a recursive query would, a repeated child repeats its paths.
+    Each round's new rows go to the shared folder; parents in a circle are an error, as the chain has no end.
+    """
+    first = edges if start is None else edges.filter(start)
+    found = saved(first.select(F.col(child).alias("origin"), F.lit(0).alias("depth"), F.col(child).alias("node")), "lineage")
+    up = saved(edges.select(F.col(child).alias("node"), F.col(parent).alias("to")).dropna(), "ancestors")
+    most, steps = up.count(), 1
+    while not (new := saved(found.join(up, "node").select("origin", (F.col("depth") + steps).alias("depth"), F.col("to").alias("node")), "lineage")).isEmpty():
+        if steps > most:
+            raise ValueError(f"the parents of {new.first()['origin']} form a circle")
+        found, steps = found.unionByName(new), 2 * steps
+        up = saved(up.join(up.select(F.col("node").alias("to"), F.col("to").alias("_to")), "to").select("node", F.col("_to").alias("to")), "ancestors")
+    return found
 
 
 def plan_matrix(spark, **axes: list) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -42,3 +43,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts the lineage; the files go when the driver's Python ends."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    atexit.register(_drop, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(path: str) -> None:
+    from lodestone.sources.files import filesystem
+
+    try:
+        where, inner = filesystem(path)
+        where.delete_dir(inner)
+    except Exception:  # noqa: BLE001  at exit; the folder may never have been written
+        pass

@@ -334,3 +334,16 @@ def test_snapshot_and_log(spark, tmp_path):
     for _ in range(2):
         sinks.append_lines(df, f"{tmp_path}/log")
     assert spark.read.json(f"{tmp_path}/log").count() == 4
+
+
+def test_lineage_of_any_depth(spark):
+    """Deeper than the engine's recursion goes, from every document; a repeated child repeats its paths; a circle is refused."""
+    edges = spark.createDataFrame([(k, k - 1 if k else None) for k in range(260)], "c long, p long")
+    want = {(o, o - n, n) for o in range(260) for n in range(o + 1)}
+    got = rows(reports.lineage(edges, "c", "p"), "origin", "depth")
+    assert len(got) == len(want) and set(got) == want
+    assert set(rows(reports.lineage(edges, "c", "p", F.col("c") == 259), "depth")) == {(259, 259 - n, n) for n in range(260)}
+    twice = spark.createDataFrame([(3, 2), (2, 1), (2, 1), (1, 9)], "c long, p long")
+    assert rows(reports.lineage(twice, "c", "p", F.col("c") == 3), "depth") == [(3, 0, 3), (3, 1, 2), (3, 2, 1), (3, 2, 1), (3, 3, 9), (3, 3, 9)]
+    with pytest.raises(ValueError, match="circle"):
+        reports.lineage(spark.createDataFrame([(1, 2), (2, 1)], "c long, p long"), "c", "p")
