@@ -5,11 +5,13 @@ Ids 0 to 7 are control tokens, 8 to 263 bytes, and merges follow from 264 on in
 
 from __future__ import annotations
 
+import atexit
 import heapq
 from collections import Counter, defaultdict
 from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from lodestone.operators.chat import SPECIAL_IDS
 from lodestone.operators.shards import byte_tokens
 from lodestone.operators.tensors import let
+from lodestone.session import drop, saved, scratch
 from lodestone.ship import ship
 
 BYTES_FROM, MERGES_FROM, MOST_IDS = 8, 264, 1 << 16
@@ -207,25 +210,157 @@ class _Segments:
                 heapq.heappush(self.heap, (-self.counts[p], p))
 
 
+#: Bytes of distinct segments that the driver takes; its lists and sets hold some 70 bytes for each.
+DRIVER_BYTES = 4 << 20
+#: The most frequent pairs that are looked at in a round over tables.
+RANKED = 512
+
+
+def _replaced(ids: np.ndarray, owner: np.ndarray, merges: Sequence[tuple[tuple[int, int], int]]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Ids of many segments on end (owner: the segment of each) with pairs replaced one after the other, and how often."""
+    hits = []
+    for (a, b), new in merges:
+        at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b) & (owner[:-1] == owner[1:]))
+        if a == b and len(at):  # of a run every other one, from the left
+            first = np.flatnonzero(np.r_[True, np.diff(at) != 1])
+            at = at[(at - np.repeat(at[first], np.diff(np.r_[first, len(at)]))) % 2 == 0]
+        hits.append(len(at))
+        if len(at):
+            ids[at] = new
+            ids, owner = np.delete(ids, at + 1), np.delete(owner, at + 1)
+    return ids, owner, hits
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _from_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).cast(pa.binary()).to_pylist()
+        ids = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32) + BYTES_FROM
+        ends = np.cumsum([0, *map(len, texts)], dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), batch.column(1)], names=["ids", "frequency"])
+
+
+def _with_merges(merges: Sequence[tuple[tuple[int, int], int]]):
+    """Segments with the pairs replaced; those of a single id, which hold no pair any more, go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, owner, _ = _replaced(*_flat(batch.column(0)), merges)
+            sizes = np.bincount(owner, minlength=batch.num_rows)
+            stay = sizes > 1
+            ends = np.cumsum(np.r_[0, sizes[stay]], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[stay[owner]])), batch.column(1).filter(pa.array(stay))], names=["ids", "frequency"])
+
+    return run
+
+
+def _with_hits(merges: Sequence[tuple[tuple[int, int], int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = _replaced(*_flat(batch.column(0)), merges)[2]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(hits)), pa.int64()), pa.array(hits, pa.int64())], names=["k", "hits"])
+
+    return run
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(left << 16 | right, count) of each batch."""
+    for batch in batches:
+        ids, owner = _flat(batch.column(0))
+        at = np.flatnonzero(owner[:-1] == owner[1:])
+        pairs = ids[at].astype(np.int64) << 16 | ids[at + 1]
+        order = np.argsort(pairs, kind="stable")
+        if len(order):
+            pairs, counts = pairs[order], batch.column(1).to_numpy()[owner[at[order]]]
+            first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[first]), pa.array(np.add.reduceat(counts, first))], names=["pair", "count"])
+
+
+def _apart(ranked: Sequence[tuple[tuple[int, int], int]]) -> list[tuple[tuple[int, int], int]]:
+    """The first pairs by rank that the greedy loop takes one after the other whatever it merges of them.
+
+    No pair starts with an id that another one ends with, so merging one takes no occurrence from another. A pair that
+    such a merge makes, (x, new), (new, y) or (new, new), is at each of its places one that was ranked behind, with a
+    greater id in it: neither its count nor, in ties, its ids bring it forward. A pair of equal ids goes alone.
+    """
+    out, lefts, rights = [], set(), set()
+    for (a, b), n in ranked:
+        if out and (a == b or a in rights or b in lefts):
+            break
+        out.append(((a, b), n))
+        lefts.add(a)
+        rights.add(b)
+        if a == b:
+            break
+    return out
+
+
+class _Tables:
+    """Segments as a table in the shared folder; a round counts its pairs, takes several merges and writes it anew."""
+
+    def __init__(self, frequencies: DataFrame):
+        ship(frequencies.sparkSession)
+        self.path = None
+        self._write(frequencies.filter(F.octet_length("segment") > 1).select("segment", "frequency").mapInArrow(_from_bytes, "ids array<int>, frequency long"))
+
+    def _write(self, rows: DataFrame) -> None:
+        spark, old = rows.sparkSession, self.path
+        self.path = scratch(spark, "segments")
+        atexit.register(drop, self.path)
+        rows.write.parquet(self.path)
+        self.rows = spark.read.schema(rows.schema).parquet(self.path)
+        if old:
+            drop(old)
+
+    def replay(self, merges: Sequence[tuple[tuple[int, int], int]]) -> None:
+        hits = {r["k"]: r["n"] for r in self.rows.mapInArrow(_with_hits(merges), "k long, hits long").groupBy("k").agg(F.sum("hits").alias("n")).collect()}
+        for k, (pair, _) in enumerate(merges):
+            if not hits.get(k):
+                raise ValueError(f"{pair} is in no segment")
+        self.merge(merges)
+
+    def merge(self, merges: Sequence[tuple[tuple[int, int], int]]) -> None:
+        self._write(self.rows.mapInArrow(_with_merges(merges), "ids array<int>, frequency long"))
+
+    def best(self) -> list[tuple[tuple[int, int], int]]:
+        counts = self.rows.mapInArrow(_pair_sums, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("n"))
+        return _apart([((r["pair"] >> 16, r["pair"] & 0xFFFF), r["n"]) for r in counts.orderBy(F.desc("n"), "pair").limit(RANKED).collect()])
+
+
 def train(docs: DataFrame, text: str, size: int, least: int = 2, mode: str = "gpt2", first: Sequence[tuple[int, int]] = (), most_segments: int = 5_000_000, on_merge: Callable[[tuple, int], None] | None = None, pause_after: int | None = None) -> BytePairs:
     """Merges up to a vocabulary of `size` or until the best pair is rarer than `least`; `first` are replayed.
 
     pause_after: at most so many new merges; their result goes in as `first` to carry on, and a finished one stays as it is.
 
-    The corpus is counted by Spark; the greedy loop runs on the distinct segments, on the driver, as each merge depends on
-    the last. More than `most_segments` of them are an error rather than a sample.
+    The corpus is counted by Spark. Up to `most_segments` distinct segments of DRIVER_BYTES in all the greedy loop runs on
+    the driver, as each merge depends on the last; beyond that, segments stay in tables and a round takes several merges
+    that the loop would take one by one. Both give the same merges.
     """
     if not MERGES_FROM <= size <= MOST_IDS or least < 1 or MERGES_FROM + len(first) > size:
         raise ValueError("the vocabulary can't have that size")
-    frequencies = segment_frequencies(docs, text, mode)
-    rows = frequencies.limit(most_segments + 1).toArrow()
-    if rows.num_rows > most_segments:
-        raise ValueError(f"more than {most_segments} distinct segments")
-    segments = _Segments((s.encode(), n) for s, n in zip(rows["segment"].to_pylist(), rows["frequency"].to_pylist(), strict=True))
+    frequencies = saved(segment_frequencies(docs, text, mode), "frequencies")
+    n, held = frequencies.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("segment")), F.lit(0))).first()
     merges = list(first)
+    stop = size if pause_after is None else min(size, MERGES_FROM + len(merges) + pause_after)
+    if n > most_segments or held > DRIVER_BYTES:
+        tables = _Tables(frequencies)
+        if merges:
+            tables.replay([(pair, MERGES_FROM + k) for k, pair in enumerate(merges)])
+        while MERGES_FROM + len(merges) < stop and (found := [x for x in tables.best() if x[1] >= least][: stop - MERGES_FROM - len(merges)]):
+            tables.merge([(pair, MERGES_FROM + len(merges) + k) for k, (pair, _) in enumerate(found)])
+            for pair, count in found:
+                merges.append(pair)
+                if on_merge:
+                    on_merge(tuple(merges), count)
+        return BytePairs(tuple(merges), mode)
+    rows = frequencies.toArrow()
+    segments = _Segments((s.encode(), n) for s, n in zip(rows["segment"].to_pylist(), rows["frequency"].to_pylist(), strict=True))
     for k, pair in enumerate(merges):
         segments.merge(pair, MERGES_FROM + k)
-    stop = size if pause_after is None else min(size, MERGES_FROM + len(merges) + pause_after)
     while MERGES_FROM + len(merges) < stop and (found := segments.best()) and found[1] >= least:
         segments.merge(found[0], MERGES_FROM + len(merges))
         merges.append(found[0])

@@ -48,12 +48,12 @@ def scratch(spark: SparkSession, tag: str) -> str:
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage; the files go when the driver's Python ends."""
     spark, path = df.sparkSession, scratch(df.sparkSession, tag)
-    atexit.register(_drop, path)
+    atexit.register(drop, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(path: str) -> None:
+def drop(path: str) -> None:
     from lodestone.sources.files import filesystem
 
     try:

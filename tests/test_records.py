@@ -347,3 +347,18 @@ def test_lineage_of_any_depth(spark):
     assert rows(reports.lineage(twice, "c", "p", F.col("c") == 3), "depth") == [(3, 0, 3), (3, 1, 2), (3, 2, 1), (3, 2, 1), (3, 3, 9), (3, 3, 9)]
     with pytest.raises(ValueError, match="circle"):
         reports.lineage(spark.createDataFrame([(1, 2), (2, 1)], "c long, p long"), "c", "p")
+
+
+def test_training_beyond_the_driver(spark):
+    """More segments than the driver takes: the same merges from tables, with overlaps, ties, a replay and a pause."""
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("aab c") for _ in range(rnd.randint(0, 30))) for _ in range(60)] + ["aaaa aaa", "abab baba", "naïve café", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    seen: list = []
+    want = tokenizer.train(df, "text", 264 + 25, 2, on_merge=lambda m, n: seen.append((m, n)))
+    far: list = []
+    got = tokenizer.train(df, "text", 264 + 25, 2, most_segments=3, on_merge=lambda m, n: far.append((m, n)))
+    assert got.merges == want.merges and len(want.merges) == 25 and far == seen
+    assert tokenizer.train(df, "text", 264 + 8, 2, first=want.merges[:5], most_segments=3, pause_after=2).merges == want.merges[:7]
+    with pytest.raises(ValueError, match="in no segment"):
+        tokenizer.train(df, "text", 264 + 8, 2, first=[(8, 9)], most_segments=3)
