@@ -21,11 +21,12 @@ def byte_tokens(text: Column) -> Column:
     return F.when(F.octet_length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(one_by_one, lambda c: F.ascii(c) + 8))
 
 
-def next_fit(df: DataFrame, group: str, order: str, tokens: str, cap: int) -> DataFrame:
+def next_fit(df: DataFrame, group: str, order: str, tokens: str, cap: int, oversized: bool = False) -> DataFrame:
     """df's (group, order, tokens) with shard and start: a shard that a document doesn't fit into is closed for good.
 
     The fold is sequential in each group, so it runs over (order, tokens) alone, streamed through one task a group in
-    constant memory; texts never pass here. A document larger than the cap is an error.
+    constant memory; texts never pass here. A document larger than the cap is an error, or, if `oversized`, a shard of
+    its own.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(group).alias("_g"), F.col(order).cast("long").alias("_o"), F.col(tokens).cast("long").alias("_n"))
@@ -36,7 +37,7 @@ def next_fit(df: DataFrame, group: str, order: str, tokens: str, cap: int) -> Da
             names, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             shards, starts = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
             for i, (name, n) in enumerate(zip(names, sizes, strict=True)):
-                if n > cap:
+                if n > cap and not oversized:
                     raise ValueError(f"a document of {n} tokens is larger than a shard of {cap}")
                 if name != now:
                     now, shard, fill = name, 0, 0

@@ -31,7 +31,7 @@ def _order(epoch: int) -> str:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.hash_split(table(spark, sf_dir, "documents").filter(F.octet_length("text") > 0), "text", POLICY)
-    return shards.next_fit(rows.select("split", "doc_id", (text.size(F.col("text")) + 1).alias("tokens")), "split", "doc_id", "tokens", CAP)
+    return shards.next_fit(rows.select("split", "doc_id", (text.size(F.col("text")) + 1).alias("tokens")), "split", "doc_id", "tokens", CAP, oversized=True)
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:

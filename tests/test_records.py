@@ -362,3 +362,21 @@ def test_training_beyond_the_driver(spark):
     assert tokenizer.train(df, "text", 264 + 8, 2, first=want.merges[:5], most_segments=3, pause_after=2).merges == want.merges[:7]
     with pytest.raises(ValueError, match="in no segment"):
         tokenizer.train(df, "text", 264 + 8, 2, first=[(8, 9)], most_segments=3)
+
+
+def test_packing_of_a_document_above_the_cap(spark, tmp_path):
+    """It has a shard to itself, as the query's SQL says, and takes no row of the others away."""
+    from lodestone import catalog
+    from lodestone.plans.shards import CAP
+    from tests.conftest import compare
+
+    df = spark.createDataFrame([("train", i, n) for i, n in enumerate([4, 9, 3, 20, 5])], "split string, i long, n long")
+    assert [r[3:] for r in rows(shards.next_fit(df, "split", "i", "n", 8, oversized=True), "i")] == [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)]
+    docs = [(k, f"{k} " * 30_000, "en", "a", 0) for k in range(20)] + [(20, "x" * (CAP + 7), "en", "a", 0), (21, "y", "en", "a", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/d")
+    (tmp_path / "t").mkdir()
+    next((tmp_path / "d").glob("part-*")).rename(tmp_path / "t/documents.parquet")
+    for name in "region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations".split():
+        (tmp_path / f"t/{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    names = ["next_fit_shards", "document_cursor", "token_windows", "hash_shuffle", "rank_stride", "cursor_batch", "rank_partition_cover"]
+    assert compare(spark, names, catalog.QUERIES, catalog.ORACLES, f"{tmp_path}/t") == []
