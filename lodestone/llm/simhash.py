@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lodestone.llm.common import documents, pieces, saved, small, tidied
 from lodestone.llm.components import components
@@ -121,6 +122,15 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
     return near if crowded.isEmpty() else near.unionByName(_pairs_of_bits(crowded))
 
 
+def _named(rows: DataFrame, most: int) -> DataFrame:
+    """(fp, component, component_id) of the distinct fingerprints of rows (_id, fp): the smallest fingerprint and id reachable."""
+    distinct = saved(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")  # copies never meet as pairs
+    linked = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    named = distinct.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
     """A row per document: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable by links).
 
@@ -128,28 +138,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id stays null and names a component only where it has no other id (then null); an empty table gives no row.
     """
     rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = saved(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")  # copies never meet as pairs
-    linked = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    named = distinct.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     # only the fingerprints of several documents or with a link need a look-up; they may be many rows of one fingerprint
-    out = rows.join(named.join(least, "component").select("fp", "component_id"), "fp", "left")
+    out = rows.join(_named(rows, most).drop("component"), "fp", "left")
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@F.arrow_udf(LongType())
+def _fingerprint(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array(np.array([fingerprint(t) for t in texts.cast(pa.binary()).to_pylist()], np.uint64).view(np.int64))
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
-    """The documents less those with a smaller id in their component; all columns, one row of an id that repeats there.
+    """The documents less those with a smaller id in their component; all columns, one row of an id in each component.
 
-    Rows with a null id stay, as nothing names them.
+    Rows with a null id stay, as nothing names them. An id may name several texts: each goes or stays by its own
+    component. Only of ids that stay and repeat are the fingerprints worked out again, beside their rows.
     """
-    found = saved(near_duplicates(docs, id_col, text_col, most).select(F.col(id_col).alias("_id"), "component_id"), "near")
-    gone = saved(found.filter("_id <> component_id").select("_id").distinct(), "gone")
-    repeated = found.filter("_id = component_id").groupBy("_id").count().filter("count > 1").select("_id")
+    rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
+    found = rows.filter("_id is not null").join(_named(rows, most), "fp")
+    found = saved(found.select("_id", "fp", "component", (F.col("_id") == F.col("component_id")).alias("stays")), "near")
+    judged = found.groupBy("_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
+    judged = saved(judged.filter("not stays or n > 1").select("_id", "stays"), "judged")
+    n = judged.count()
+    if not n:
+        return docs
     key = docs[id_col].cast("long")
-    n = gone.count()
-    kept = docs.join(F.broadcast(gone) if small(gone, 16, n) else gone, key == gone["_id"], "left_anti") if n else docs
-    if repeated.isEmpty():
+    beside = F.broadcast if small(judged, 16, n) else lambda df: df
+    kept = docs.join(beside(judged), key == judged["_id"], "left_anti")
+    several = judged.filter("stays").select("_id")
+    if several.isEmpty():
         return kept
-    repeated = saved(repeated, "repeated")
-    key = kept[id_col].cast("long")
-    return kept.join(repeated, key == repeated["_id"], "left_anti").unionByName(kept.join(repeated, key == repeated["_id"], "left_semi").dropDuplicates([id_col]))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    ones = docs.join(beside(several), key == several["_id"], "left_semi").withColumns({"_key": F.col(id_col).cast("long"), "_fp": _fingerprint(text)}).dropDuplicates(["_key", "_fp"])
+    stay = found.filter("stays").join(beside(several), "_id", "left_semi").select(F.col("_id").alias("_key"), F.col("fp").alias("_fp"), F.col("component").alias("_component")).distinct()
+    return kept.unionByName(ones.join(stay, ["_key", "_fp"]).dropDuplicates(["_key", "_component"]).select(*docs.columns))

@@ -340,6 +340,14 @@ def test_deduplicate(spark, docs, empty):
     assert simhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_judges_texts_not_ids(spark):
+    """An id with a near copy of a smaller id's text and texts of its own loses the copy alone, and keeps one of each of the others."""
+    rnd = random.Random(11)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(300)) for _ in range(4))
+    df = spark.createDataFrame([(1, a), (7, a), (7, b), (7, b), (7, c), (8, c), (8, d), (None, d)], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.deduplicate(df).collect())) == Counter([(1, a), (7, b), (7, c), (8, d), (None, d)])
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000 + k) for k in range(50)] + [(7, 7)]
