@@ -213,9 +213,11 @@ def predicted(model: Model | None, spark: SparkSession, text: Column) -> Column:
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The documents, all columns, less those that aren't in any language: null texts and texts without letters.
 
-    Learns from every labelled row; with no labelled row nothing can be identified and nothing is kept.
+    Learns from every labelled row; with no labelled row to learn from, letters alone decide.
     """
     model = fit(docs, id_col, text_col, lang_col)
+    if model is None:
+        return docs.filter(has_letter(F.col(text_col).cast("string")))
     return docs.filter(predicted(model, docs.sparkSession, F.col(text_col)) != UNKNOWN)
 
 

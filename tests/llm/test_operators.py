@@ -385,6 +385,11 @@ def test_language(spark, sf_dir, docs, empty):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 1, 5, None, 7, 8])
 
 
+def test_documents_without_labels_stay(spark, docs):
+    kept = language.keep_identified(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 1, 5, None, 7, 8])
+
+
 def test_labels_are_no_inputs(spark):
     """A prediction depends on the text alone."""
     df = table(spark, "/root/testdata/sf0.001", "documents")
