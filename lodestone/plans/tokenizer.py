@@ -47,8 +47,8 @@ def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS frequency, strlen(replace(segment, 'en', '~'))::INTEGER AS ids FROM seg WHERE NOT contains(segment, '~') GROUP BY segment")
 def merge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids that are left of each segment when "e" and "n" are merged."""
-    rows = tokenizer.segment_frequencies(table(spark, sf_dir, "documents").filter("not contains(text, '~')"), "text")
+    """The ids that are left of each segment when "e" and "n" are merged; those with the SQL's stand-in "~" are left out, as there."""
+    rows = tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text").filter("not contains(segment, '~')")
     ids = tokenizer.merged(byte_tokens(F.col("segment")), 8 + ord("e"), 8 + ord("n"), 264)
     return rows.select("segment", "frequency", F.size(ids).alias("ids"))
 

@@ -380,3 +380,10 @@ def test_packing_of_a_document_above_the_cap(spark, tmp_path):
         (tmp_path / f"t/{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
     names = ["next_fit_shards", "document_cursor", "token_windows", "hash_shuffle", "rank_stride", "cursor_batch", "rank_partition_cover"]
     assert compare(spark, names, catalog.QUERIES, catalog.ORACLES, f"{tmp_path}/t") == []
+
+
+def test_merge_pair_leaves_out_segments_not_documents(spark, tmp_path):
+    from lodestone.plans.tokenizer import merge_pair
+
+    spark.createDataFrame([(1, "ten ~ hens")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(merge_pair(spark, str(tmp_path)), "segment") == [(" hens", 1, 4), ("ten", 1, 2)]
