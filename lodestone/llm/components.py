@@ -1,29 +1,44 @@
 """Connected components of an undirected graph of any size, by contraction.
 
-In a round every node points to its smallest neighbour where that is smaller than itself; edges are carried over to
-where their ends point and made distinct. A node that pointed leaves the graph, so the graph shrinks until no edge is
-left. The pointers of all rounds, followed in order, give each node's smallest reachable node. Each round's tables are
-written to the shared folder; nothing comes to the driver but a count.
+In a round every node points to its smallest neighbour where that is smaller than itself. Pointers are doubled until
+they end at nodes that don't point, so that a chain of any length folds up in one round; edges are carried over to where
+their ends point and made distinct. A node that pointed leaves the graph. Of those that stay, the ones that nothing points
+to then have a smaller neighbour and leave in the next round, and the others are no more than those that left: two rounds
+halve the nodes at least. So rounds are logarithmic in the nodes, and doublings in the length of a round's chains. The
+pointers of all rounds, followed in order, give each node's smallest reachable node. Each round's tables are written to the shared folder; nothing comes to the driver but whether a table is empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import saved
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _ends(pointers: DataFrame) -> DataFrame:
+    """Pointers (node, to) as far as they lead, by doubling; each leads to a smaller node, so none leads in a circle."""
+    while True:
+        on = pointers.select(F.col("node").alias("to"), F.col("to").alias("_on"))
+        if pointers.join(on, "to", "left_semi").isEmpty():
+            return pointers
+        pointers = saved(pointers.join(on, "to", "left").select("node", F.coalesce("_on", "to").alias("to")), "pointers")
+
+
+def components(edges: DataFrame, on_round: Callable[[int], None] = lambda rounds: None) -> DataFrame:
     """(node, component) for each node of edges (a, b), both long and not null; component: the smallest reachable node.
 
     Self-loops and repeated edges do no harm; no edges give an empty table.
     """
     edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
-    members = None
+    members, rounds = None, 0
     while not edges.isEmpty():
+        rounds += 1
+        on_round(rounds)
         # partial aggregation before the shuffle: a node with very many edges sends one row a task
-        down = saved(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "pointers")
+        down = _ends(saved(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")), "pointers"))
         if members is None:
             nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             members = nodes.join(down, "node", "left").select("node", F.coalesce("to", "node").alias("component"))

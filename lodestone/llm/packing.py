@@ -32,7 +32,8 @@ class ByteEncoder:
     """Ids that the tokenizers library gives for a byte-level BPE file.
 
     Plain texts go through tiktoken with the same ranks, which gives the same ids several times faster; texts with a
-    special string or with characters on which the two libraries' Unicode tables might differ go through tokenizers.
+    special string or with characters on which the two libraries' Unicode tables might differ go through tokenizers, and
+    so do those that tiktoken's pattern gives up on (runs of about a million blanks).
     """
 
     def __init__(self, json_path: str, ranks_path: str | None):
@@ -52,9 +53,12 @@ class ByteEncoder:
         return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or _SPECIAL in text or not is_plain(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.fast.encode_to_numpy(text, disallowed_special=())
+        if self.fast is not None and _SPECIAL not in text and is_plain(text):
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=())
+            except ValueError:  # the pattern's stack is full
+                pass
+        return np.array(self.exact.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
 
 def encoder(json_path: str, ranks_path: str | None) -> ByteEncoder:

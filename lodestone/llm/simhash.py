@@ -24,6 +24,8 @@ from lodestone.llm.common import documents, pieces, saved, small, tidied
 from lodestone.llm.components import components
 
 SHINGLE, SEED, DISTANCE, MOST = 3, 42, 2, 256
+#: Rows of one fingerprint from which on it is looked up by a broadcast, and not in one task.
+HOT = 1 << 16
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -124,11 +126,21 @@ def links(fps: DataFrame, most: int = MOST) -> DataFrame:
 
 def _named(rows: DataFrame, most: int) -> DataFrame:
     """(fp, component, component_id) of the distinct fingerprints of rows (_id, fp): the smallest fingerprint and id reachable."""
-    distinct = saved(rows.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")  # copies never meet as pairs
+    distinct = saved(rows.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "distinct")  # copies never meet as pairs
     linked = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    named = distinct.join(linked, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = distinct.join(linked, "fp", "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return named.join(least, "component").select("fp", "component", "component_id")
+    return saved(named.join(least, "component").select("fp", "component", "component_id", "n"), "named")
+
+
+def _look_up(rows: DataFrame, named: DataFrame, hot: int = HOT) -> DataFrame:
+    """rows with the component and component_id of their fp; no task gets all rows of a frequent one."""
+    frequent = named.filter(F.col("n") >= hot).drop("n")
+    n = frequent.count()  # a row for each `hot` rows at most
+    if not n or not small(frequent, 32, n):
+        return rows.join(named.drop("n"), "fp")
+    frequent = F.broadcast(frequent)
+    return rows.join(frequent.select("fp"), "fp", "left_anti").join(named.filter(F.col("n") < hot).drop("n"), "fp").unionByName(rows.join(frequent, "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -138,8 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id stays null and names a component only where it has no other id (then null); an empty table gives no row.
     """
     rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    # only the fingerprints of several documents or with a link need a look-up; they may be many rows of one fingerprint
-    out = rows.join(_named(rows, most).drop("component"), "fp", "left")
+    out = _look_up(rows, _named(rows, most))
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -153,10 +164,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents less those with a smaller id in their component; all columns, one row of an id in each component.
 
     Rows with a null id stay, as nothing names them. An id may name several texts: each goes or stays by its own
-    component. Only of ids that stay and repeat are the fingerprints worked out again, beside their rows.
+    component. Of several rows of one id and component the one with the smallest text stays, ties by the other columns
+    as JSON. Only of ids that stay and repeat are the fingerprints worked out again, beside their rows.
     """
     rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
-    found = rows.filter("_id is not null").join(_named(rows, most), "fp")
+    found = _look_up(rows.filter("_id is not null"), _named(rows, most))
     found = saved(found.select("_id", "fp", "component", (F.col("_id") == F.col("component_id")).alias("stays")), "near")
     judged = found.groupBy("_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     judged = saved(judged.filter("not stays or n > 1").select("_id", "stays"), "judged")
@@ -170,6 +182,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if several.isEmpty():
         return kept
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    ones = docs.join(beside(several), key == several["_id"], "left_semi").withColumns({"_key": F.col(id_col).cast("long"), "_fp": _fingerprint(text)}).dropDuplicates(["_key", "_fp"])
+    rows = docs.join(beside(several), key == several["_id"], "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    ones = rows.select(F.col(id_col).cast("long").alias("_key"), _fingerprint(text).alias("_fp"), whole.alias("_row"), F.struct(text.alias("t"), F.to_json(whole).alias("j")).alias("_order"))
+    least = (F.min_by("_row", "_order").alias("_row"), F.min("_order").alias("_order"))
+    ones = ones.groupBy("_key", "_fp").agg(*least)
     stay = found.filter("stays").join(beside(several), "_id", "left_semi").select(F.col("_id").alias("_key"), F.col("fp").alias("_fp"), F.col("component").alias("_component")).distinct()
-    return kept.unionByName(ones.join(stay, ["_key", "_fp"]).dropDuplicates(["_key", "_component"]).select(*docs.columns))
+    return kept.unionByName(ones.join(stay, ["_key", "_fp"]).groupBy("_key", "_component").agg(*least).select("_row.*"))

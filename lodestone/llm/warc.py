@@ -1,12 +1,14 @@
 """WARC archives: written from a table in parallel, read through a Python data source.
 
 A record is a gzip member of its own whose extra field "sl" tells its compressed and full length, so a reader inflates
-a record's headers alone and skips what it doesn't want. Files of other writers, without that field or not compressed,
-are read as well. A record whose payload repeats is a revisit without payload.
+a record's headers alone and skips what it doesn't want. Files of other writers, without that field, with several
+records in a member or not compressed, are read as well. A record whose payload repeats is a revisit without payload; it
+names the response by record id, URI and date.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -28,6 +30,8 @@ _VERSION = b"WARC/1.1\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MEMBER = struct.Struct("<4sIBB")
 _EXTRA = struct.Struct("<2sHII")
+#: Header names as the format spells them; files may write them in any case.
+_NAMES = {name.lower(): name for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type", "WARC-Concurrent-To", "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-IP-Address", "WARC-Refers-To", "WARC-Refers-To-Target-URI", "WARC-Refers-To-Date", "WARC-Target-URI", "WARC-Truncated", "WARC-Warcinfo-ID", "WARC-Filename", "WARC-Profile", "WARC-Identified-Payload-Type", "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length")}
 #: Columns that are header fields as they stand: predicates on them need the headers only.
 _HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "content_type": "Content-Type"}
 SCHEMA = "record_type string, record_id string, target_uri string, content_type string, payload_digest string, headers map<string,string>, payload binary"
@@ -46,12 +50,21 @@ def record(fields: dict[str, str], block: bytes) -> bytes:
     return _VERSION + lines.encode() + f"Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def _page_record(name: str, page, url, payload: bytes, digest: str, refers_to, date: str) -> bytes:
+def _urn(*parts: object) -> str:
+    """Of the archive's path, which no other archive has, and what tells the record apart; a task that runs again gives the same."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([str(x) for x in parts]))}>"
+
+
+def _page_record(archive: str, place: str, page, url, payload: bytes, digest: str, first, date: str) -> bytes:
+    """first: of a payload that repeats, the id and URL of the page whose response stands for it."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    fields = {"WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": date, "WARC-Target-URI": url or None, "Content-Type": "application/http;msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-Id": page, "X-Payload-Length": len(payload)}
-    if refers_to is None:
+    revisit = first is not None and first["id"] != page
+    named = first is not None and (first["id"], first["url"]) == (page, url)  # revisits must be able to tell its id
+    fields = {"WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _urn(archive, "first", page, url, digest) if named else _urn(archive, place, page, url, date, digest), "WARC-Date": date, "WARC-Target-URI": url or None, "Content-Type": "application/http;msgtype=response", "WARC-Payload-Digest": f"sha256:{digest}", "X-Page-Id": page, "X-Payload-Length": len(payload)}
+    if not revisit:
         return record(fields, http + payload)
-    return record(fields | {"WARC-Profile": _PROFILE, "X-Refers-To-Page-Id": refers_to}, http)
+    to = {"WARC-Refers-To": _urn(archive, "first", first["id"], first["url"], digest), "WARC-Refers-To-Target-URI": first["url"] or None, "WARC-Refers-To-Date": date, "X-Refers-To-Page-Id": first["id"]}
+    return record(fields | {"WARC-Profile": _PROFILE} | to, http)
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, date: str = "1970-01-01T00:00:00Z") -> str:
@@ -60,20 +73,22 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     Of equal payloads of `least` bytes or more the row with the smallest id is the response and the others revisit it;
     rows that repeat that id are responses, too. A null id never names a response; without any id, all are responses.
     A null url has no target URI. An empty table leaves a folder without records. A file per input partition, written
-    under another name and renamed: a task that runs again leaves the same records.
+    under another name and renamed: a task that runs again leaves the same records. Record ids hash the path, the page
+    and the record's place; rows that repeat a response with its id and URL share one.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("_html"))
     rows = rows.withColumn("_digest", F.sha2("_html", 256))
     # counts are summed before the shuffle, so a payload that fills a third of the rows is a row a task
-    seen = rows.filter(F.octet_length("_html") >= least).groupBy("_digest").agg(F.min("_id").alias("_to"), F.count("*").alias("_n"))
+    first = F.min(F.when(F.col("_id").isNotNull(), F.struct(F.col("_id").alias("id"), F.col("_url").alias("url"))))
+    seen = rows.filter(F.octet_length("_html") >= least).groupBy("_digest").agg(first.alias("_to"), F.count("*").alias("_n"))
     copies = saved(seen.filter("_n > 1 and _to is not null").select("_digest", "_to"), "copies")
     n = copies.count()
     if n:
-        rows = rows.join(F.broadcast(copies) if small(copies, 128, n) else copies, "_digest", "left")
+        rows = rows.join(F.broadcast(copies) if small(copies, 256, n) else copies, "_digest", "left")
     else:
-        rows = rows.withColumn("_to", F.lit(None).cast("long"))
-    rows = rows.select("_id", "_url", "_html", "_digest", F.when(~F.col("_to").eqNullSafe(F.col("_id")), F.col("_to")).alias("_to"))
+        rows = rows.withColumn("_to", F.lit(None).cast("struct<id:long,url:string>"))
+    rows = rows.select("_id", "_url", "_html", "_digest", "_to")
 
     rows.mapInArrow(tidied(_writer(path, date)), "part long, records long").write.format("noop").mode("overwrite").save()
     where, inner = filesystem(path)
@@ -91,7 +106,7 @@ def _writer(path: str, date: str):
         with where.open_output_stream(temp) as out:
             for batch in pieces(batches):
                 for page, url, html, digest, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    out.write(member(_page_record(f"{part}/{n}", page, url, html.encode(), digest, to, date)))
+                    out.write(member(_page_record(path, f"{part}/{n}", page, url, html.encode(), digest, to, date)))
                     n += 1
         settle(where, temp, own)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64())], names=["part", "records"])
@@ -155,7 +170,7 @@ class WarcReader(DataSourceReader):
             for headers, block in records(f, f.size(), self.keeps, self.payload):
                 payload = None
                 if block is not None:
-                    payload = block.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").startswith("application/http") else block
+                    payload = block.partition(b"\r\n\r\n")[2] if headers.get("Content-Type", "").lower().startswith("application/http") else block
                 rows.append((headers, payload))
                 n += len(payload or b"") + 500
                 if n > 8 << 20:
@@ -174,10 +189,88 @@ def _rows(rows: list) -> pa.RecordBatch:
 
 
 def parse(head: bytes) -> dict[str, str]:
+    """A record's headers: names in any case get the format's own spelling, folded lines are joined by a blank, and the
+    values of a header that repeats by ", ", in their order."""
     lines = head.decode("utf-8", "replace").split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if not lines[0].upper().startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-    return {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:] if x)}
+    fields: list[list[str]] = []
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and fields:
+            fields[-1][1] = f"{fields[-1][1]} {line.strip()}".strip()
+        elif line:
+            name, _, value = line.partition(":")
+            fields.append([_NAMES.get(name.strip().lower(), name.strip()), value.strip()])
+    out: dict[str, str] = {}
+    for name, value in fields:
+        out[name] = f"{out[name]}, {value}" if name in out else value
+    return out
+
+
+def _length(headers: dict[str, str], at: int) -> int:
+    try:
+        return int(headers["Content-Length"])
+    except (KeyError, ValueError):
+        raise ValueError(f"the record at {at} has no length") from None
+
+
+class _Inflated:
+    """A gzip member's content, inflated as far as it is asked for."""
+
+    def __init__(self, f, at: int, start: bytes):
+        self.f, self.at, self.piece, self.read = f, at, start, len(start)
+        self.z, self.held = zlib.decompressobj(31), bytearray()
+
+    def more(self) -> bool:
+        """Inflates another piece of bounded size; false at the member's end."""
+        while not self.z.eof:
+            if not self.piece:
+                self.piece = self.f.read(1 << 18)
+                self.read += len(self.piece)
+                if not self.piece:
+                    raise ValueError(f"the record at {self.at} is cut off")
+            out = self.z.decompress(self.piece, 1 << 20)
+            self.piece = self.z.unconsumed_tail
+            if out:
+                self.held += out
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What stands before the mark, which is passed; None where there is no more mark."""
+        at = 0
+        while (end := self.held.find(mark, at)) < 0:
+            at = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return None
+        out = bytes(self.held[:end])
+        del self.held[: end + len(mark)]
+        return out
+
+    def take(self, n: int, keep: bool) -> bytes:
+        parts = []
+        while n:
+            if not self.held and not self.more():
+                raise ValueError(f"the record at {self.at} is cut off")
+            part = self.held[:n]
+            del self.held[:n]
+            n -= len(part)
+            if keep:
+                parts.append(bytes(part))
+        return b"".join(parts)
+
+    def pass_breaks(self) -> bool:
+        """Passes the line breaks between records; false where nothing else comes."""
+        while True:
+            self.held = self.held.lstrip(b"\r\n")
+            if self.held:
+                return True
+            if not self.more():
+                return False
+
+    def size(self) -> int:
+        """Compressed bytes, once the end is reached."""
+        return self.read - len(self.z.unused_data)
 
 
 def records(f, size: int, keeps, payload: bool, chunk: int = 4096) -> Iterator[tuple[dict[str, str], bytes | None]]:
@@ -189,61 +282,61 @@ def records(f, size: int, keeps, payload: bool, chunk: int = 4096) -> Iterator[t
         if start[:2] != b"\x1f\x8b":
             at = yield from _plain(f, at, start, keeps, payload)
             continue
-        known = 0
+        known, full = 0, 0
         if start[3] & 4 and len(start) >= 24 and start[12:14] == b"sl":
-            known = struct.unpack_from("<I", start, 16)[0]
-        z, data, read = zlib.decompressobj(31), b"", 0
-        piece = start
-        while (end := data.find(b"\r\n\r\n")) < 0 and piece and not z.eof:
-            data += z.decompress(piece)
-            read += len(piece)
-            piece = b"" if z.eof else f.read(chunk) if data.find(b"\r\n\r\n") < 0 else b""
-        if end < 0:
-            end = data.find(b"\r\n\r\n")
-        headers = parse(data[:end])
-        wanted = keeps(headers)
-        body = payload and wanted
-        if body or not known:
-            parts = [data]
-            while not z.eof and (piece := f.read(1 << 18)):
-                read += len(piece)
-                out = z.decompress(piece)
-                if body:
-                    parts.append(out)
-            if not z.eof:
+            known, full = struct.unpack_from("<II", start, 16)
+        data, first = _Inflated(f, at, start), True
+        while data.pass_breaks():
+            head = data.until(b"\r\n\r\n")
+            if head is None:
                 raise ValueError(f"the record at {at} is cut off")
-            if body:
-                data = b"".join(parts)
-        if wanted:
-            yield headers, data[end + 4 : end + 4 + int(headers["Content-Length"])] if body else None
-        at += known or read - len(z.unused_data)
+            headers = parse(head)
+            n, wanted = _length(headers, at), keeps(headers)
+            # the skip length holds if this record is all that the member says it has
+            alone = first and known and (len(head) + 4 + n + 4) & 0xFFFFFFFF == full
+            body = payload and wanted
+            block = data.take(n, body) if body or not alone else None
+            if wanted:
+                yield headers, block if body else None
+            if alone and not body:
+                at += known
+                break
+            first = False
+        else:  # inflated to the end, where the checksum is
+            at += data.size()
 
 
 def _plain(f, at: int, start: bytes, keeps, payload: bool):
     """A record that isn't compressed; gives where the next one starts."""
-    while (end := start.find(b"\r\n\r\n")) < 0:
+    while (end := (start := start.lstrip(b"\r\n")).find(b"\r\n\r\n")) < 0:
         more = f.read(4096)
         if not more:
             if start.strip():
                 raise ValueError(f"no record at {at}")
-            return at + max(1, len(start))
+            return f.tell()
         start += more
-    headers = parse(start[:end].lstrip())
-    n = int(headers["Content-Length"])
+    head = f.tell() - len(start)
+    headers = parse(start[:end])
+    n = _length(headers, at)
     if keeps(headers):
         block = None
         if payload:
-            f.seek(at + end + 4)
+            f.seek(head + end + 4)
             block = f.read(n)
+            if len(block) < n:
+                raise ValueError(f"the record at {at} is cut off")
         yield headers, block
-    return at + end + 4 + n + 4
+    return head + end + 4 + n
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records below path. Filters on record_type, target_uri and the other header columns reach the reader."""
+    """The records below path. Filters on record_type, target_uri and the other header columns reach the reader.
+
+    For that the session's spark.sql.python.filterPushdown.enabled becomes true; Spark reads it when a plan is made.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 

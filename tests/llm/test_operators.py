@@ -185,6 +185,30 @@ def test_packing(spark, sf_dir, docs, empty):
     assert "ids" not in thin.columns and thin.count() > 0
 
 
+def test_long_runs():
+    """No text is too much for the fast path: what it gives up on goes through the library."""
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(BYTE), packing.ByteEncoder(BYTE, RANKS)
+    for run in (" ", "\n", "\t", "a", ".", "9", " \n", "é", "a "):
+        text = "start " + run * (2_000_000 // len(run)) + "end"
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, run
+
+
+def test_fast_path_is_the_library():
+    """Equal ids over texts of all characters that count as plain, in all neighbourhoods of classes."""
+    from tokenizers import Tokenizer
+
+    t, encode = Tokenizer.from_file(BYTE), packing.ByteEncoder(BYTE, RANKS)
+    plain = [chr(c) for c in range(0x2100) if not 0xD800 <= c < 0xE000 and packing.is_plain(chr(c))]
+    assert len(plain) > 400
+    rnd, kinds = random.Random(8), (" ", "\n", "\t", "\xa0", "\u2009", "\x1c", "\x85", "'s", "'LL", "12", "½", "A", "é", ",", "€")
+    texts = ["".join(plain), *(f"a{c}b {c} {c}{c}1{c}" for c in plain)]
+    texts += ["".join(rnd.choice(plain if rnd.random() < 0.5 else kinds) for _ in range(rnd.randint(1, 60))) for _ in range(4000)]
+    for text, ids in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == ids.ids, text
+
+
 def test_best_fit():
     """Whole documents go where they fill best; only what fits nowhere is cut."""
     p = packing.Packer(10, 2)
@@ -348,6 +372,17 @@ def test_deduplicate_judges_texts_not_ids(spark):
     assert Counter(map(tuple, simhash.deduplicate(df).collect())) == Counter([(1, a), (7, b), (7, c), (8, d), (None, d)])
 
 
+def test_long_chains_fold_up(spark):
+    """A thousand edges in a row, in any order of names, take few rounds."""
+    rnd = random.Random(4)
+    names = list(range(1001))
+    rnd.shuffle(names)
+    for chain in (range(1001), names):
+        rounds = []
+        got = components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long"), rounds.append).collect()
+        assert {r["component"] for r in got} == {0} and len(got) == 1001 and len(rounds) <= 10
+
+
 def test_components(spark):
     rnd = random.Random(9)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)] + [(2000, 2000 + k) for k in range(50)] + [(7, 7)]
@@ -398,20 +433,87 @@ def test_labels_are_no_inputs(spark):
     assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(swapped).collect()} == a
 
 
-def test_kernel_is_linear():
-    """Scores from the folded matrix are kernel values with the landmarks times the weights."""
-    texts = ["the cat and the hat", "le chat et la rue", "the dog and a man", "le chien et un homme", "das ist ein hund"]
+def spectrum(text):
+    """The set of 1- to 3-grams of letters and marks in lower case, everything else one blank, with a blank at both ends."""
+    import unicodedata
+
+    if not any(unicodedata.category(c)[0] == "L" for c in text):
+        return set()
+    line = " " + "".join(c.lower()[0] if unicodedata.category(c)[0] in "LM" else " " for c in text) + " "
+    line = re.sub(" +", " ", line)
+    return {line[i : i + n] for n in (1, 2, 3) for i in range(len(line) - n + 1)}
+
+
+def regress(sets, labels, landmarks, ridge):
+    """Scores of sets by languages, from the kernel matrix as it is defined."""
+    names = sorted(set(labels))
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b)) if a and b else 0.0
+    own = [sets[i] for i in landmarks]
+    nm = np.array([[kernel(a, b) for b in own] for a in sets])
+    mm = np.array([[kernel(a, b) for b in own] for a in own])
+    y = np.array([[float(x == n) for n in names] for x in labels])
+    alpha = np.linalg.solve(nm.T @ nm + ridge * len(sets) / len(own) * mm + 1e-8 * np.eye(len(own)), nm.T @ y)
+    return names, lambda text: np.array([kernel(spectrum(text), b) for b in own]) @ alpha
+
+
+def test_kernel():
+    """Scores of the folded, batched form are kernel values with the landmarks times the weights, for any text."""
+    texts = ["the cat and the hat", "le chat et la rue", "the dog and a man", "le chien et un homme", "das ist ein hund", "der Mann und die Frau 12"]
+    labels = ["en", "fr", "en", "fr", "de", "de"]
+    names, score = regress([spectrum(t) for t in texts], labels, [4, 0, 1, 3], 0.1)
     sets = [np.unique(language.grams(t)) for t in texts]
-    model = language.solve(["de", "en", "fr"], sets, np.array([1, 2, 1, 2, 0]), np.arange(5), 0.1)
-    assert [model.languages[k] for k in model.score(texts).argmax(axis=1)] == ["en", "fr", "en", "fr", "de"]
-    known = set(np.concatenate([s for s in sets]).tolist())
-    seen = Counter(x for s in sets for x in s.tolist())
-    known = {x for x in known if seen[x] > 1} if sum(v > 1 for v in seen.values()) > 100 else known
-    own = [set(s.tolist()) & known for s in sets]
-    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in own] for a in own])
-    y = np.eye(3)[[1, 2, 1, 2, 0]]
-    alpha = np.linalg.solve(k.T @ k + 0.1 * k + 1e-8 * np.eye(5), k.T @ y)
-    assert np.allclose(model.score(texts), k @ alpha, atol=1e-4)
+    model = language.solve(names, sets, np.array([names.index(x) for x in labels]), np.array([4, 0, 1, 3]), 0.1, rows=2)
+    odd = [*texts, "", "12 !!", "zzz \U00032000 q", "İstanbul ǅ é", "中文", "a" * 5000]
+    got, seen = model.score(odd, rows=3)
+    assert np.allclose(got[seen], [score(t) for t, ok in zip(odd, seen) if ok], atol=1e-5)
+    assert seen.tolist() == [bool(spectrum(t)) for t in odd]
+
+
+def test_grams():
+    for text in ("A b", "  x", "\U000323a5 é", "\U00032000\U00031350", "Größe, ab", "é", "\u0301", "\ud800a"):
+        codes = np.unique(language.grams(text)) if spectrum(text) else language.grams(text)
+        assert len(codes) == len(spectrum(text)), text
+    assert len(language.grams("\U000323a5")) == 6  # beyond U+32000 there are letters, too
+
+
+def test_identify_is_the_plain_method(spark, sf_dir):
+    """Sampler, n-gram sets, kernel and regression written plainly give the same languages and scores."""
+    df = table(spark, sf_dir, "documents")
+    rows = df.select("doc_id", "text", "lang", F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")).alias("draw")).collect()
+    learn = [r for r in rows if r["text"] and r["lang"] and len(r["text"]) <= language.MOST_CHARS and spectrum(r["text"]) and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    size, sample, landmarks = Counter(r["lang"] for r in learn), [], []
+    for lang in sorted(size):
+        own = [r for r in learn if r["lang"] == lang and r["draw"] % (1 << 30) < min(1.0, 3 * language.PER_LANGUAGE / size[lang]) * (1 << 30)]
+        own = sorted(own, key=lambda r: (r["draw"], r["doc_id"]))[: language.PER_LANGUAGE]
+        landmarks += range(len(sample), len(sample) + min(len(own), language.LANDMARKS))
+        sample += own
+    names, score = regress([spectrum(r["text"]) for r in sample], [r["lang"] for r in sample], landmarks, language.RIDGE)
+    got = {r["doc_id"]: r for r in language.identify(df).collect()}
+    for r in rows:
+        own = got[r["doc_id"]]
+        if not spectrum(r["text"] or ""):
+            assert (own["lang_pred"], own["score"]) == ("und", 0.0)
+            continue
+        want = score(r["text"])
+        assert abs(own["score"] - min(1, max(0, want.max()))) < 1e-4
+        assert want[names.index(own["lang_pred"])] > want.max() - 1e-4
+
+
+def test_other_scripts_are_rejected(spark, sf_dir):
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    other = spark.createDataFrame([(10**9 + k, t, None) for k, t in enumerate(["中文字符测试一下", "Это русский текст для проверки", "これは日本語です", "Ελληνικά είναι εδώ"])], df.schema)
+    kept = {r["doc_id"] for r in language.keep_identified(df.unionByName(other)).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in df.collect() if spectrum(r["text"] or "")}
+
+
+def test_models_are_bounded(spark, sf_dir):
+    df = table(spark, sf_dir, "documents")
+    model = language.fit(df, landmarks=64, model_bytes=60_000)
+    assert model and len(model.weights) * (len(model.languages) * 4 + 8) <= 60_000
+    with pytest.raises(ValueError):
+        language.fit(df, model_bytes=10)
+    assert language.fit(df, most_chars=0) is None
+    assert set(language.fit(df.withColumn("lang", F.concat("lang", F.col("doc_id") % 30)), most_rows=100).languages)
 
 
 # op9
@@ -472,6 +574,48 @@ def test_warc_reader(spark, tmp_path):
     assert [bytes(r["payload"])[:6] for r in rows] == [b"zip 0z", b"zip 1z", b"zip 2z", b"body 0", b"body 1", b"body 2"]
 
 
+def test_warc_members_and_headers(spark, tmp_path):
+    """Several records in a member, large ones among them; names in any case, folded and repeated headers; members cut off."""
+    import gzip
+
+    body = lambda k: b"%d" % k * 400_000
+    three = b"".join(warc.record({"WARC-Type": "resource", "WARC-Record-ID": f"m{k}", "Content-Type": "text/plain"}, body(k)) for k in range(3))
+    odd = b"WARC/1.0\r\nwarc-type: metadata\r\nwarc-record-id: odd\r\nWARC-Concurrent-To: a\r\nwarc-concurrent-to: b\r\nX-Long: one\r\n  two\r\ncontent-length: 3\r\n\r\nxyz\r\n\r\n"
+    both = warc.member(warc.record({"WARC-Type": "resource", "WARC-Record-ID": "s0"}, b"0") + warc.record({"WARC-Type": "resource", "WARC-Record-ID": "s1"}, b"1"))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(three + odd) + both + warc.member(odd.replace(b"record-id: odd", b"record-id: own")))
+    (tmp_path / "b.warc").write_bytes(odd.replace(b"record-id: odd", b"record-id: raw") + b"\r\n" + three)
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert Counter(r["record_id"] for r in rows) == Counter(["m0", "m1", "m2"] * 2 + ["odd", "s0", "s1", "own", "raw"])
+    for r in rows:
+        if r["record_id"][0] == "m":
+            assert bytes(r["payload"]) == body(int(r["record_id"][1]))
+        if r["record_type"] == "metadata":
+            assert r["headers"]["WARC-Concurrent-To"] == "a, b" and r["headers"]["X-Long"] == "one two" and bytes(r["payload"]) == b"xyz"
+    some = warc.read_warc(spark, f"file://{tmp_path}", payload=False).filter("record_type = 'metadata'")
+    assert {r["record_id"] for r in some.collect()} == {"odd", "own", "raw"}
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut/a.warc.gz").write_bytes(gzip.compress(three)[:-600])
+    with pytest.raises(Exception, match="cut off"):
+        warc.read_warc(spark, f"file://{tmp_path}/cut").collect()
+
+
+def test_warc_record_ids(spark, tmp_path):
+    """Ids differ between records and archives; a revisit names a record that is there, with its URI and date."""
+    df = spark.createDataFrame([(k, f"http://h/{k}", "<p>x</p>" * 30 if k % 2 else f"<b>{k}</b>" * 30) for k in range(12)], "page_id long, url string, html string")
+    ids = []
+    for name in "ab":
+        warc.write_warc(df.repartition(3), f"file://{tmp_path}/{name}")
+        rows = warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        own = {r["record_id"]: r for r in rows}
+        for r in rows:
+            if r["record_type"] == "revisit":
+                to = own[r["headers"]["WARC-Refers-To"]]
+                assert to["record_type"] == "response" and to["payload_digest"] == r["payload_digest"]
+                assert r["headers"]["WARC-Refers-To-Target-URI"] == to["target_uri"] and r["headers"]["WARC-Refers-To-Date"] == to["headers"]["WARC-Date"]
+        ids += own
+    assert len(set(ids)) == len(ids) == 24
+
+
 def test_warc_pushdown():
     """Predicates on headers are taken over, others are given back."""
     from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
