@@ -33,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir; a local one only where that isn't set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local master has a default, on its own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         where = "file://" + os.path.join(tempfile.gettempdir(), f"lodestone-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
