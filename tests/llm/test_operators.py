@@ -88,18 +88,78 @@ def test_topk(spark):
     rnd = np.random.default_rng(4)
     x = [(int(i), [float(v) for v in rnd.normal(size=8) * (1 + i % 3)]) for i in range(700)]
     x += [(1000 + i, x[5][1]) for i in range(300)] + [(2000, None), (2001, [1.0, None] * 4), (2002, [float("nan")] * 8), (2003, [float("inf")] * 8), (None, [1.0] * 8), (2100, [1.0, 2.0]), (2200, [3.0, 4.0]), (2300, []), (0, x[0][1]), (2400, [0.0] * 8), (2500, [1e6] * 8)]
-    df = spark.createDataFrame(x, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("v", F.lit("q")).repartition(3)
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>").withColumn("score", F.lit(1)).withColumn("v", F.lit("q")).withColumn("_query", F.lit(False)).withColumn("asked", F.lit(1)).repartition(3)
     good = [(i, [int(np.floor(1024 * c)) for c in v]) for i, v in x if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     want = {}
     for i, v in {i: v for i, v in good if i % 100 == 0}.items():
         own = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i and len(w) == len(v))[:10]
         want |= {(i, k): (j, -s) for k, (s, j) in enumerate(own, 1)}
-    for sizes in ({}, {"pivots": 5, "segment": 64, "block": 3}):
+    for sizes in ({}, {"pivots": 5, "segment": 64, "block": 3}, {"pivots": 3, "segment": 16, "lengths": 1}):
         got = topk.top_k(df, F.col("vec_id") % 100 == 0, **sizes).collect()
         assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want and len(got) == len(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_large_components(spark):
+    """Scores up to 64 bits are exact, larger ones are an error instead of wrong rows."""
+    rnd = random.Random(6)
+    x = [(k, [float(rnd.randrange(-(1 << 20), 1 << 20)) for _ in range(4)]) for k in range(120)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    v = {i: [int(c) * 1024 for c in e] for i, e in x}
+    want = {}
+    for q in (0, 100):
+        own = sorted((-sum(a * b for a, b in zip(v[q], v[j])), j) for j in v if j != q)[:10]
+        want |= {(q, r): (j, -s) for r, (s, j) in enumerate(own, 1)}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") % 100 == 0).collect()} == want
+    assert max(abs(s) for _, s in want.values()) > 2**60
+    big = spark.createDataFrame([(0, [2.0**30]), (1, [2.0**30]), (2, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(big, F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(big.withColumn("embedding", F.array(F.lit(1e300))), F.col("vec_id") == 0).collect()
+
+
+def test_ragged_vectors(spark):
+    """Every row with a length of its own, or nearly: only the most frequent lengths have pivots on the driver."""
+    x = [(k, [float(k % 7)] * (1 + k // 2)) for k in range(60)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, F.col("vec_id") % 2 == 0, lengths=3).collect()
+    assert {(r["query_id"], r["vec_id"]): r["score"] for r in got} == {(k, k + 1): 1024**2 * (k % 7) * ((k + 1) % 7) * (1 + k // 2) for k in range(0, 60, 2)}
+
+
+def test_only_routed_segments_move(spark):
+    """Clusters far apart: the vectors that meet queries are those of the queries' own clusters."""
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(40, 16))
+    centres *= 50 / np.linalg.norm(centres, axis=1, keepdims=True)
+    x = [(k, (centres[k % 40] + rnd.normal(size=16) * 0.05).tolist()) for k in range(4000)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    seen = []
+    meet = topk._meet
+
+    def counted(index, k, block):
+        run, total = meet(index, k, block), spark.sparkContext.accumulator(0)
+        seen.append(total)
+
+        def count(batches):
+            def passed():
+                for b in batches:
+                    total.add(b.num_rows)
+                    yield b
+
+            yield from run(passed())
+
+        return count
+
+    topk._meet = counted
+    try:
+        got = topk.top_k(df, F.col("vec_id").isin(0, 1), segment=64).collect()
+    finally:
+        topk._meet = meet
+    assert len(got) == 20 and all(r["vec_id"] % 40 == r["query_id"] for r in got)
+    assert 0 < seen[-1].value < 1500
+
+
 # op3
 
 
