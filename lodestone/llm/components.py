@@ -10,12 +10,17 @@ pointers of all rounds, followed in order, give each node's smallest reachable n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+from lodestone.llm.common import saved, tidied
+
+#: Edges that one task folds in some 100 MB.
+ONE_TASK = 1 << 20
 
 
 def _ends(pointers: DataFrame) -> DataFrame:
@@ -27,12 +32,34 @@ def _ends(pointers: DataFrame) -> DataFrame:
         pointers = saved(pointers.join(on, "to", "left").select("node", F.coalesce("_on", "to").alias("to")), "pointers")
 
 
-def components(edges: DataFrame, on_round: Callable[[int], None] = lambda rounds: None) -> DataFrame:
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rounds over arrays, for all edges in one task."""
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not parts:
+        return
+    nodes, ends = np.unique(np.concatenate([x for pair in zip(*parts, strict=True) for x in pair]), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    to = np.arange(len(nodes))
+    while True:
+        x, y = np.minimum(to[a], to[b]), np.maximum(to[a], to[b])
+        if (x == y).all():
+            break
+        np.minimum.at(to, y, x)
+        while (to[to] != to).any():
+            to = to[to]
+    for at in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000]), pa.array(nodes[to[at : at + 100_000]])], names=["node", "component"])
+
+
+def components(edges: DataFrame, on_round: Callable[[int], None] = lambda rounds: None, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for each node of edges (a, b), both long and not null; component: the smallest reachable node.
 
-    Self-loops and repeated edges do no harm; no edges give an empty table.
+    Self-loops and repeated edges do no harm; no edges give an empty table. Up to one_task edges are folded in one task
+    instead of rounds over tables, with the same result.
     """
     edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(tidied(_folded), "node long, component long")
     members, rounds = None, 0
     while not edges.isEmpty():
         rounds += 1

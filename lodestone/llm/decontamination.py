@@ -134,7 +134,7 @@ def passes(benchmark: DataFrame, item_col: str, text_col: str, size: int, most:
                     yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([None if item is None else str(item)] * len(part), pa.string())], names=["window", "item"])
 
     spark = benchmark.sparkSession
-    rows = saved(documents(benchmark, item_col, text_col).mapInArrow(tidied(cut), "window binary, item string").distinct(), "windows")
+    rows = documents(benchmark, item_col, text_col).mapInArrow(tidied(cut), "window binary, item string").distinct()
     held = rows.agg(F.sum(F.octet_length("window") + 16)).first()[0] or 0
     n = -(-held // most)
     if not n:

@@ -169,7 +169,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = saved(fingerprints(docs, id_col, text_col), "fingerprints")
     found = _look_up(rows.filter("_id is not null"), _named(rows, most))
-    found = saved(found.select("_id", "fp", "component", (F.col("_id") == F.col("component_id")).alias("stays")), "near")
+    found = found.select("_id", "fp", "component", (F.col("_id") == F.col("component_id")).alias("stays"))
     judged = found.groupBy("_id").agg(F.max("stays").alias("stays"), F.count("*").alias("n"))
     judged = saved(judged.filter("not stays or n > 1").select("_id", "stays"), "judged")
     n = judged.count()

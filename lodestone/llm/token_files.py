@@ -1,8 +1,9 @@
 """Token-id files: flat unsigned integers plus 64-bit document offsets, read by memory mapping.
 
-A folder holds part-NNNNN.bin (little-endian unsigned ids, 16 bits where the vocabulary allows, else 32), part-NNNNN.idx
-(int64: the number of documents n, n + 1 offsets in tokens from the part's start, n document ids) and manifest.json with
-each part's base. Bases are prefix sums over the parts' totals, so parts are written at the same time.
+A folder holds part-NNNNN-NNN.bin (little-endian unsigned ids, 16 bits where the vocabulary allows, else 32), beside each
+an .idx (int64: the number of documents n, n + 1 offsets in tokens from the part's start, n document ids) and manifest.json
+with each part's base. Bases are prefix sums over the parts' totals, so parts are written at the same time. A task goes on
+to its next part at a fixed size.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import json
 import mmap
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -26,6 +28,8 @@ from lodestone.llm.common import documents, filesystem, gathered, publish, scrat
 END = 2
 #: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
 REMEMBERED, BATCH = 120_000, 32 << 20
+#: A part ends with the document that reaches so many bytes or documents; a row of ids that is read back at once, about so many tokens.
+PART_BYTES, PART_DOCS, PIECE = 256 << 20, 1 << 20, 1 << 20
 #: Stands for a null document id in an index file.
 NULL_ID = -(1 << 63)
 
@@ -89,53 +93,86 @@ class WordIds:
 _ids: dict[str, WordIds] = {}
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> str:
+class _Part:
+    """A part's two files on their way; both get their names in settle()."""
+
+    def __init__(self, path: str, name: str, width: int):
+        self.where, self.inner = filesystem(path)
+        self.path, self.name, self.width = path, name, width
+        self.where.create_dir(self.inner, recursive=True)
+        self.temp = f"{self.inner}/{name}.bin.{uuid.uuid4().hex}.tmp"
+        self.out, self.docs, self.ends = self.where.open_output_stream(self.temp), array("q"), array("q", [0])
+
+    def add(self, doc: int | None, raw: bytes) -> None:
+        self.out.write(raw)
+        self.docs.append(NULL_ID if doc is None else doc)
+        self.ends.append(self.ends[-1] + len(raw) // self.width)
+
+    def full(self, part_bytes: int) -> bool:
+        return self.ends[-1] * self.width >= part_bytes or len(self.docs) >= PART_DOCS
+
+    def settle(self) -> dict:
+        self.out.close()
+        settle(self.where, self.temp, f"{self.inner}/{self.name}.bin")
+        index = b"".join(np.frombuffer(a, np.int64).astype("<i8").tobytes() for a in (array("q", [len(self.docs)]), self.ends, self.docs))
+        publish(f"{self.path}/{self.name}.idx", index)
+        return {"name": self.name, "docs": len(self.docs), "tokens": self.ends[-1], "width": self.width}
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, part_bytes: int = PART_BYTES) -> str:
     """Write every document's ids and the end id, in ascending order of document id (nulls first, ties by text); gives the path.
 
     Null and empty texts hold the end id alone; repeated rows are written as often as they come; an empty table gives
-    a manifest without parts. Parts are ranges of the order, by id and a hash of the text, so no id can fill a task.
-    A part is written under another name and renamed: a task that runs again leaves the same files.
+    a manifest without parts. Tasks are ranges of the order, by id, a hash of the text and the row's place, so neither an
+    id nor a row that repeats can fill a task. A part is written under another name and renamed: a task that runs again
+    leaves the same files.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _ids:
             _ids[tokenizer] = WordIds(tokenizer)
-        ids, part = _ids[tokenizer], TaskContext.get().partitionId()
-        stop, docs_, sizes = ids.raw([end]), [], []
-        where, inner = filesystem(path)
-        where.create_dir(inner, recursive=True)
-        own = f"{inner}/part-{part:05d}.bin"
-        temp = f"{own}.{uuid.uuid4().hex}.tmp"
-        with where.open_output_stream(temp) as out:
-            for batch in gathered(batches, BATCH):
-                docs_ += batch.column(0).to_pylist()
-                encoded = [raw + stop for raw in ids.texts(batch.column(1).to_pylist())]
-                sizes += [len(raw) // ids.kind.itemsize for raw in encoded]
-                out.write(b"".join(encoded))
-        if not docs_:
-            where.delete_file(temp)
-        else:
-            settle(where, temp, own)
-            publish(f"{path}/part-{part:05d}.idx", np.array([len(docs_), 0, *accumulate(sizes), *(NULL_ID if d is None else d for d in docs_)], "<i8").tobytes())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "docs": pa.array([len(docs_)], pa.int64()), "tokens": pa.array([sum(sizes)], pa.int64()), "width": pa.array([ids.kind.itemsize], pa.int64())})
+        ids, made, part = _ids[tokenizer], [], None
+        stop = ids.raw([end])
+        for batch in gathered(batches, BATCH):
+            for doc, raw in zip(batch.column(0).to_pylist(), ids.texts(batch.column(1).to_pylist()), strict=True):
+                if part is None:
+                    part = _Part(path, f"part-{TaskContext.get().partitionId():05d}-{len(made):03d}", ids.kind.itemsize)
+                part.add(doc, raw + stop)
+                if part.full(part_bytes):
+                    made.append(part.settle())
+                    part = None
+        if part:
+            made.append(part.settle())
+        if made:
+            yield pa.RecordBatch.from_pylist(made)
 
     order = (F.col("_id").asc_nulls_first(), F.col("_hash"), F.col("_text"))
-    rows = documents(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("_hash")).repartitionByRange(*order[:2]).sortWithinPartitions(*order).select("_id", "_text")
-    totals = sorted(rows.mapInArrow(tidied(write), "part long, docs long, tokens long, width long").collect())  # one row a part
+    rows = documents(docs, id_col, text_col, F.xxhash64(F.col(text_col).cast("string")).alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    rows = rows.repartitionByRange(*order[:2], "_place").sortWithinPartitions(*order).select("_id", "_text")
+    totals = sorted(rows.mapInArrow(tidied(write), "name string, docs long, tokens long, width long").collect())  # one row a part
     bases = [0, *accumulate(t["tokens"] for t in totals)]
     parts = [t.asDict() | {"base": base} for t, base in zip(totals, bases, strict=False)]
-    publish(f"{path}/manifest.json", json.dumps({"format": "token-files", "version": 1, "end": end, "tokens": bases[-1], "parts": parts}).encode())
+    publish(f"{path}/manifest.json", json.dumps({"format": "token-files", "version": 2, "end": end, "tokens": bases[-1], "parts": parts}).encode())
     return path
 
 
-def _open(path: str):
-    """The file's bytes: mapped where the file is local, else read through Arrow's file system."""
-    where, inner = filesystem(path)
-    if where.type_name == "local":
-        with open(inner, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    with where.open_input_file(inner) as f:
-        return f.read()
+class _Bytes:
+    """A file's bytes from a to b: mapped where the file is local, else read as a range through Arrow's file system."""
+
+    def __init__(self, path: str):
+        where, inner = filesystem(path)
+        self.file, self.map = None, None
+        if where.type_name == "local":
+            with open(inner, "rb") as f:
+                self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        else:
+            self.file = where.open_input_file(inner)
+
+    def __getitem__(self, span: slice) -> bytes:
+        if self.map is not None:
+            return self.map[span]
+        self.file.seek(span.start)
+        return self.file.read(span.stop - span.start)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", keep_ids: bool = True) -> DataFrame:
@@ -145,19 +182,22 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", keep_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for b in batches for r in b.to_pylist()):
-            name = f"{path}/part-{row['part']:05d}"
-            index = np.frombuffer(_open(f"{name}.idx"), "<i8")
-            n, offsets, docs = int(index[0]), index[1 : index[0] + 2], index[index[0] + 2 :]
-            ids = np.frombuffer(_open(f"{name}.bin"), f"<u{row['width']}")
-            for at in range(0, n, 1000):
-                to = min(n, at + 1000)
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets[at:to], offsets[at + 1 : to + 1], strict=True)]
-                own = docs[at:to]
-                columns = [pa.array(own, mask=own == NULL_ID), pa.array(offsets[at:to] + row["base"]), pa.array(np.diff(offsets[at : to + 1])), pa.array(map(zlib.crc32, raw), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw)] if keep_ids else [])], names=["_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])])
-
-    rows = [(p["part"], p["width"], p["base"]) for p in parts]
-    listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "part long, width long, base long")  # a task a part
+            index, ids, n, width = _Bytes(f"{path}/{row['name']}.idx"), _Bytes(f"{path}/{row['name']}.bin"), row["docs"], row["width"]
+            longs = lambda a, b: np.frombuffer(index[8 * a : 8 * b], "<i8")  # noqa: B023,E731
+            at = 0
+            while at < n:
+                ends = longs(1 + at, 2 + min(n, at + 1000))
+                to = at + max(1, int(np.searchsorted(ends, ends[0] + PIECE, "right")) - 1)
+                ends, own = ends[: to - at + 1], longs(2 + n + at, 2 + n + to)
+                body = np.frombuffer(ids[width * int(ends[0]) : width * int(ends[-1])], f"<u{width}").astype("<u4").tobytes()
+                cuts = (4 * (ends - ends[0])).tolist()
+                raw = [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                columns = [pa.array(own, mask=own == NULL_ID), pa.array(ends[:-1] + row["base"]), pa.array(np.diff(ends)), pa.array(map(zlib.crc32, raw), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(raw, pa.binary())] if keep_ids else [])], names=["_id", "start", "n_tokens", "ids_crc32", *(["ids"] if keep_ids else [])])
+                at = to
+
+    rows = [(p["name"], p["docs"], p["width"], p["base"]) for p in parts]
+    listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, max(1, len(rows))), "name string, docs long, width long, base long")  # a task a part
     return listed.mapInArrow(tidied(read), "_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids).withColumnRenamed("_id", id_col)
 
 

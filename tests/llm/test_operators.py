@@ -61,23 +61,60 @@ def test_oracle(spark, sf_dir, name):
 # op1
 
 
+def plain_words(text):
+    return re.findall("[a-z0-9]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
 def dice(a, b):
-    x, y = Counter(license_scan.bigrams(a)), Counter(license_scan.bigrams(b))
-    return 2 * sum((x & y).values()) / max(1, sum(x.values()) + sum(y.values()))
+    """Of two lists of words."""
+    x, y = (Counter(zip(w, w[1:])) for w in (a, b))
+    return 2 * (x & y).total() / max(1, x.total() + y.total())
+
+
+def licences_by_hand(text):
+    """(line, last line, licence, coefficient): each line, the whole text, and each licence's best window over several lines."""
+    own = {k: plain_words(v) for k, v in license_scan.TEMPLATES.items()}
+    vocabulary = {w for v in own.values() for w in v}
+    lines = [plain_words(x) for x in text.split("\n")]
+    units = [(i, i, w) for i, w in enumerate(lines, 1)] + ([(0, len(lines), [w for x in lines for w in x])] if len(lines) > 1 else [])
+    out = set()
+    for line, last, w in units:
+        best = min((-dice(w, v), k) for k, v in own.items())
+        if best[0] <= -license_scan.SIMILARITY + 1e-12:
+            out.add((line, last, best[1], round(-best[0], 6)))
+    share = license_scan.SIMILARITY / (2 - license_scan.SIMILARITY)
+    for name, v in own.items():
+        best = []
+        for i, first in enumerate(lines, 1):
+            if not first or sum(w in vocabulary for w in first) < share * len(first) - 1e-9:
+                continue
+            w, last = [], i - 1
+            while last < len(lines) and len(w) < len(v):
+                w += lines[last]
+                last += 1
+            w = w[: len(v)]
+            if len(w) > len(first) and dice(w, v) >= license_scan.SIMILARITY - 1e-12:
+                best.append((-dice(w, v), i, last))
+        if best:
+            out.add((min(best)[1], min(best)[2], name, round(-min(best)[0], 6)))
+    return out
 
 
 def test_licences(spark, docs, empty):
-    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0-notice"]
+    mit, gpl, bsd = (license_scan.TEMPLATES[k] for k in ("MIT", "GPL-3.0-notice", "BSD-3-Clause"))
+    flat = " ".join(mit.split())
+    wrapped = "\n".join(flat[i : i + 70] for i in range(0, len(flat), 70))  # cut anywhere, words included
+    at_words = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    code = "\n".join(f"def f{k}(x):\n    return x + {k}\n" for k in range(120))
+    marked = "\n".join(f" * {x}" for x in at_words.split("\n"))
     texts = [mit, "some words\n" + gpl, gpl.replace("version 3", "version three"), "of the of the of the of the", "licensed", mit[:300], "x\n" * 5000 + gpl.upper(), " ".join(mit.split()[:150]), "\n".join(mit.split(". "))]
+    texts += [at_words + "\n\n" + code, code + wrapped + "\n" + code, "/*\n" + marked + "\n */\n" + code, code + " ".join(bsd.split()) + "\n" + at_words, at_words + "\n" + code + at_words, at_words.replace("\n", "\n\n"), "the\n" * 3000, "\n".join(gpl.split()), "Released under\nthe MIT License.\n" + code, code]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = set()
-    for i, t in enumerate(texts):
-        units = list(enumerate(t.split("\n"), 1)) + ([(0, t.replace("\n", " "))] if "\n" in t else [])
-        for line, unit in units:
-            best = min(((-dice(unit, v), k) for k, v in license_scan.TEMPLATES.items()))
-            if best[0] <= -license_scan.SIMILARITY + 1e-12:
-                want.add((i, line, best[1], round(-best[0], 6)))
-    assert {(r[0], r[1], r[2], round(r[3], 6)) for r in license_scan.scan(df).collect()} == want and len(want) >= 6
+    want = {(i, *x) for i, t in enumerate(texts) for x in licences_by_hand(t)}
+    got = license_scan.scan(df)
+    assert {(r[0], r[1], r[2], r[3], round(r[4], 6)) for r in got.collect()} == want
+    assert {(9, 1, "MIT"), (13, 1, "MIT")} <= {(x[0], x[1], x[3]) for x in want} and {x[3] for x in want if x[0] in (9, 11, 12)} >= {"MIT", "BSD-3-Clause"} and not [x for x in want if x[0] == 18]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     assert license_scan.scan(docs).count() == license_scan.scan(empty).count() == 0
 
 
@@ -338,8 +375,9 @@ def test_token_files(spark, sf_dir, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORD)
-    for df in (table(spark, sf_dir, "documents").select("doc_id", "text").repartition(7), docs.repartition(4)):
-        got = token_files.encode_to_files(df, WORD, keep_ids=True).collect()
+    for df, size in ((table(spark, sf_dir, "documents").select("doc_id", "text").repartition(7), 10_000), (docs.repartition(4), 256 << 20), (docs, 1)):
+        path = token_files.write_tokens(df, scratch(spark, "tokens"), WORD, part_bytes=size)
+        got = token_files.read_tokens(spark, path).collect()
         order = sorted(((r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
         got.sort(key=lambda r: r["start"])
         assert [r["doc_id"] for r in got] == [d for d, _ in order]
@@ -352,6 +390,20 @@ def test_token_files(spark, sf_dir, docs, empty):
     assert token_files.encode_to_files(empty, WORD).count() == 0
 
 
+def test_repeated_rows_fill_no_task(spark):
+    """A row that makes up most of the table is dealt over the tasks."""
+    df = spark.createDataFrame([(1, "the same text")] * 900 + [(k, f"text {k}") for k in range(2, 102)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = token_files.write_tokens(df, scratch(spark, "repeats"), WORD)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    where, inner = filesystem(path)
+    docs = [p["docs"] for p in json.loads(where.open_input_stream(f"{inner}/manifest.json").read())["parts"]]
+    assert sum(docs) == 1000 and max(docs) < 500
+    assert token_files.read_tokens(spark, path).count() == 1000
+
+
 def test_token_file_layout(spark):
     path = token_files.write_tokens(spark.createDataFrame([(5, "a b"), (3, None)], "doc_id long, text string").coalesce(1), scratch(spark, "layout"), WORD)
     where, inner = filesystem(path)
@@ -439,7 +491,7 @@ def test_long_chains_fold_up(spark):
     rnd.shuffle(names)
     for chain in (range(1001), names):
         rounds = []
-        got = components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long"), rounds.append).collect()
+        got = components(spark.createDataFrame(list(zip(chain, chain[1:])), "a long, b long"), rounds.append, one_task=0).collect()
         assert {r["component"] for r in got} == {0} and len(got) == 1001 and len(rounds) <= 10
 
 
@@ -456,9 +508,10 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert all(got[x] == find(x) for x in got) and set(got) >= {a for a, b in edges if a != b}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for one_task in (0, 10**6):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+        assert all(got[x] == find(x) for x in got) and set(got) >= {a for a, b in edges if a != b}
+        assert components(spark.createDataFrame([], "a long, b long"), one_task=one_task).count() == 0
 
 
 # op8
