@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,8 +37,11 @@ def utilisation(cpu_seconds: Column, wall_seconds: Column, cores: Column) -> Col
     return F.when((wall_seconds > 0) & (cores > 0), cpu_seconds / (wall_seconds * cores))
 
 
+def _compact(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in values:
+        yield pa.array([None if x is None else next((f"{x / size:.1f}{unit}" for size, unit in ((1e9, "B"), (1e6, "M"), (1e3, "K")) if abs(x) >= size), f"{x:.2f}") for x in batch.to_pylist()], pa.string())
+
+
 def compact(value: Column) -> Column:
-    """1.5K, 2.0M, 3.2B; small numbers with two places."""
-    scaled = lambda div, unit: F.concat(F.format_string("%.1f", value / div), F.lit(unit))
-    size = F.abs(value)
-    return F.when(size >= 1e9, scaled(1e9, "B")).when(size >= 1e6, scaled(1e6, "M")).when(size >= 1e3, scaled(1e3, "K")).otherwise(F.format_string("%.2f", value.cast("double")))
+    """1.5K, 2.0M, 3.2B; small numbers with two places. Python, as Java rounds the shortest decimal form and not the number."""
+    return F.arrow_udf(_compact, "string")(value.cast("double"))

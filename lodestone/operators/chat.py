@@ -6,6 +6,8 @@ can read, so it is one row. Everything else is array functions on that row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,15 @@ def _role_id(role: Column) -> Column:
     return F.when(role == "system", 3).when(role == "user", 4).otherwise(5)
 
 
-def blocks(messages: Column) -> Column:
-    """(role, content ids) of each message; its block is the role's id, the content and the end id."""
-    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), byte_tokens(m["content"]).alias("content")))
+def blocks(messages: Column, encode: Callable[[Column], Column] | None = None) -> Column:
+    """(role, content ids) of each message; its block is the role's id, the content and the end id.
+
+    encode: from an array of texts to the ids of each, as tokenizer.encoded_each() gives them; the ids of bytes without it.
+    """
+    if encode is None:
+        return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), byte_tokens(m["content"]).alias("content")))
+    ids = encode(F.transform(messages, lambda m: m["content"]))
+    return F.zip_with(messages, ids, lambda m, x: F.struct(m["role"].alias("role"), x.alias("content")))
 
 
 def _ids(block: Column) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.session import saved
 
 
-def ranked(df: DataFrame, loss: str, name: str, position: str = "position") -> DataFrame:
-    """Positions from 1 by loss, ties by name; for summaries, a row a variant."""
-    return df.withColumn(position, F.row_number().over(Window.orderBy(loss, name)))
+def ranked(df: DataFrame, loss: str, name: str, position: str = "position", throughput: str | None = None) -> DataFrame:
+    """Positions from 1 by loss, and throughput_rank by throughput downwards, ties by name; for summaries, a row a variant."""
+    rows = df.withColumn(position, F.row_number().over(Window.orderBy(loss, name)))
+    return rows if throughput is None else rows.withColumn("throughput_rank", F.row_number().over(Window.orderBy(F.desc(throughput), name)))
 
 
 def spread(value: Column) -> Column:
@@ -41,8 +45,9 @@ def calibration(results: DataFrame, baseline: str, speedup: float, most_spread:
 
 
 def constant(df: DataFrame, group: str, *values: str) -> DataFrame:
-    """Whether each value is the same in all rows of a group; by extremes, so nothing is gathered."""
-    return df.groupBy(group).agg(*(F.coalesce(F.min(v) == F.max(v), F.lit(False)).alias(f"same_{v}") for v in values))
+    """Whether each value is the same in all rows of a group, null being a value of its own; by extremes, so nothing is gathered."""
+    same = lambda v: F.min(v).eqNullSafe(F.max(v)) & F.count(v).isin(F.lit(0), F.count("*"))
+    return df.groupBy(group).agg(*(same(v).alias(f"same_{v}") for v in values))
 
 
 def preference_summary(pairs: DataFrame, group: str) -> DataFrame:
@@ -103,11 +108,34 @@ def strict_zip(left: DataFrame, right: DataFrame, ordinal: str) -> DataFrame:
     return a.join(b, ordinal, "full").withColumn("problem", problem).drop("_a", "_b")
 
 
-def with_baseline(results: DataFrame, baseline: str, *key: str, value: str = "throughput") -> DataFrame:
-    """Each candidate beside the baseline of the same key; without one, `missing_baseline` holds."""
-    base = results.filter(F.col("cell") == baseline).select(*key, F.col(value).alias("baseline_value"))
-    rows = results.filter(F.col("cell") != baseline).join(base, list(key), "left")
-    return rows.withColumn("missing_baseline", F.col("baseline_value").isNull())
+def with_baseline(results: DataFrame, baseline: str, *key: str, value: str = "throughput", bound: Sequence[str] = ()) -> DataFrame:
+    """Each candidate beside the baseline of the same key; without one, `missing_baseline` holds.
+
+    bound: fields in which both must agree (the plan's hash, say); where a baseline is there and they don't, `incompatible` holds.
+    """
+    base = results.filter(F.col("cell") == baseline).select(*key, F.col(value).alias("baseline_value"), F.lit(True).alias("_there"), *(F.col(c).alias(f"_b_{c}") for c in bound))
+    rows = results.filter(F.col("cell") != baseline).join(base, list(key), "left").withColumn("missing_baseline", F.col("_there").isNull())
+    if bound:
+        agree = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in bound))
+        rows = rows.withColumn("incompatible", ~F.col("missing_baseline") & ~agree)
+    return rows.drop("_there", *(f"_b_{c}" for c in bound))
+
+
+def downstream(selected: DataFrame, evaluations: DataFrame, generations: DataFrame, key: str, bound: Sequence[str]) -> DataFrame:
+    """Selected jobs with their numbers of evaluation and generation records, and whether what is there binds to the job.
+
+    complete: exactly one job, one evaluation and one generation of the key, which agree in all fields of `bound`.
+    """
+    jobs = selected.groupBy(key).agg(F.count("*").alias("jobs"), *(F.min(c).alias(c) for c in bound))
+
+    def of(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy(key).agg(F.count("*").alias(name), *(F.min(c).alias(f"_{name}_{c}") for c in bound))
+
+    rows = jobs.join(of(evaluations, "evaluations"), key, "left").join(of(generations, "generations"), key, "left")
+    agree = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{n}_{c}")) for c in bound for n in ("evaluations", "generations")))
+    one = reduce(Column.__and__, (F.coalesce(F.col(n), F.lit(0)) == 1 for n in ("jobs", "evaluations", "generations")))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return rows.select(key, "jobs", zero("evaluations"), zero("generations"), agree.alias("bound"), (one & agree).alias("complete"))
 
 
 def mismatches(df: DataFrame, pairs: list[tuple[str, str]]) -> Column:

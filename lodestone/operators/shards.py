@@ -6,49 +6,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.symbols import BYTE_IDS
 from lodestone.operators.ordered import numbered
+from lodestone.session import saved, saved_path
 from lodestone.ship import ship
+from lodestone.sources import files
 
 EOS = 2
 
 
 def byte_tokens(text: Column) -> Column:
-    """Ids of the UTF-8 bytes of a text without merges: byte + 8."""
+    """Ids of the UTF-8 bytes of a text without merges."""
     one_by_one = F.split(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), "")
-    return F.when(F.octet_length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(one_by_one, lambda c: F.ascii(c) + 8))
+    return F.when(F.octet_length(text) == 0, F.array().cast("array<int>")).otherwise(F.transform(one_by_one, lambda c: F.element_at(F.array(*map(F.lit, BYTE_IDS)), F.ascii(c) + 1)))
+
+
+def _packed(sizes: np.ndarray, cap: int, shard: int, fill: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Shard and start of each document, and the open shard and its fill after them, from those before."""
+    shards, starts, total, at = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64), np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = total[at - 1] if at else 0
+        to = max(at, int(np.searchsorted(total, before + cap - fill, "right")))
+        if to == at and fill:
+            shard, fill = shard + 1, 0
+            continue
+        to = max(to, at + 1)  # a document above the cap is alone
+        shards[at:to], starts[at:to] = shard, fill + total[at:to] - sizes[at:to] - before
+        fill += int(total[to - 1] - before)
+        at = to
+    return shards, starts, shard, fill
 
 
 def next_fit(df: DataFrame, group: str, order: str, tokens: str, cap: int, oversized: bool = False) -> DataFrame:
     """df's (group, order, tokens) with shard and start: a shard that a document doesn't fit into is closed for good.
 
-    The fold is sequential in each group, so it runs over (order, tokens) alone, streamed through one task a group in
-    constant memory; texts never pass here. A document larger than the cap is an error, or, if `oversized`, a shard of
-    its own.
+    Ranges of the order are sorted at the same time and written as narrow rows. One task runs over their sizes and tells
+    the open shard and its fill at each range's start; then the ranges are packed at the same time, each from there. A
+    document larger than the cap is an error, or, if `oversized`, a shard of its own. Ties in the order go by size.
     """
-    ship(df.sparkSession)
-    rows = df.select(F.col(group).alias("_g"), F.col(order).cast("long").alias("_o"), F.col(tokens).cast("long").alias("_n"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard, fill = None, 0, 0
-        for batch in batches:
-            names, sizes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            shards, starts = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-            for i, (name, n) in enumerate(zip(names, sizes, strict=True)):
-                if n > cap and not oversized:
-                    raise ValueError(f"a document of {n} tokens is larger than a shard of {cap}")
-                if name != now:
-                    now, shard, fill = name, 0, 0
-                if fill and fill + n > cap:
-                    shard, fill = shard + 1, 0
-                shards[i], starts[i] = shard, fill
-                fill += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards), pa.array(starts)], names=["_g", "_o", "_n", "shard", "start"])
-
-    packed = rows.repartition("_g").sortWithinPartitions("_g", "_o").mapInArrow(fold, "_g string, _o long, _n long, shard long, start long")
-    return packed.select(F.col("_g").alias(group), F.col("_o").alias(order), F.col("_n").alias(tokens), "shard", "start")
+    spark = ship(df.sparkSession)
+    rows = df.select(F.col(group).cast("string").alias("_g"), F.col(order).cast("long").alias("_o"), F.col(tokens).cast("long").alias("_n"))
+    path = saved_path(rows.repartitionByRange("_g", "_o").sortWithinPartitions("_g", "_o", "_n"), "ordered")
+
+    def packed(name: str, state: tuple) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, tuple]]:
+        where, inner = files.filesystem(f"{path}/{name}")
+        now, shard, fill = state
+        with where.open_input_file(inner) as f:
+            for batch in pq.ParquetFile(f).iter_batches(1 << 16, use_threads=False):
+                names, sizes = batch.column(0).dictionary_encode(), batch.column(2).to_numpy()
+                if len(sizes) and sizes.max() > cap and not oversized:
+                    raise ValueError(f"a document of {sizes.max()} tokens is larger than a shard of {cap}")
+                codes = names.indices.fill_null(-1).to_numpy()
+                cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+                shards, starts = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+                for at, to in zip(cuts, cuts[1:], strict=False):
+                    if at == to:
+                        continue
+                    if (own := (batch.column(0)[at].as_py(),)) != now:
+                        now, shard, fill = own, 0, 0
+                    shards[at:to], starts[at:to], shard, fill = _packed(sizes[at:to], cap, shard, fill)
+                yield batch, shards, starts, (now, shard, fill)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        state = (None, 0, 0)
+        for name, _ in files.listing(path):
+            if name.endswith(".parquet"):
+                now, shard, fill = state
+                yield pa.RecordBatch.from_pydict({"file": [name], "started": [now is not None], "g": pa.array([now[0] if now else None], pa.string()), "shard": pa.array([shard], pa.int64()), "fill": pa.array([fill], pa.int64())})
+                for *_, state in packed(name, state):
+                    pass
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for b in batches for r in b.to_pylist()):
+            for batch, shards, starts, _ in packed(r["file"], ((r["g"],) if r["started"] else None, r["shard"], r["fill"])):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards), pa.array(starts)], names=["_g", "_o", "_n", "shard", "start"])
+
+    states = saved(spark.range(0, 1, 1, 1).mapInArrow(chain, "file string, started boolean, g string, shard long, fill long"), "states")  # a row a range
+    out = states.repartition("file").mapInArrow(pack, "_g string, _o long, _n long, shard long, start long")
+    return out.select(F.col("_g").alias(group), F.col("_o").alias(order), F.col("_n").alias(tokens), "shard", "start")
 
 
 def shard_sizes(packed: DataFrame, group: str, order: str, tokens: str) -> DataFrame:

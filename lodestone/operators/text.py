@@ -51,9 +51,15 @@ def hash_split(df: DataFrame, text: str, policy: SplitPolicy) -> DataFrame:
 
 
 def first_occurrences(df: DataFrame, text: str, order: str) -> DataFrame:
-    """Non-empty rows whose content no row before them in `order` has. Only hash and order are shuffled to find them."""
-    keys = df.filter(F.octet_length(text) > 0).groupBy(content_hash(F.col(text)).alias("_hash")).agg(F.min(order).alias(order))
-    return df.join(keys.select(order), order, "left_semi")
+    """Non-empty rows whose content no row before them in `order` has, one of each content. Only hash and order are shuffled to find them.
+
+    Of copies that share an order, too, one stays, whichever comes; whole rows are shuffled only where there are such.
+    """
+    rows = df.filter(F.octet_length(text) > 0).withColumn("_hash", content_hash(F.col(text)))
+    first = F.min(F.struct(F.col(order), F.col("_n"))).alias("_first")
+    keys = rows.groupBy("_hash", order).agg(F.count("*").alias("_n")).groupBy("_hash").agg(first).select("_hash", F.col(f"_first.{order}").alias(order), "_first._n")
+    kept = rows.join(keys.select("_hash", order), ["_hash", order], "left_semi")
+    return (kept if keys.filter("_n > 1").isEmpty() else kept.dropDuplicates(["_hash"])).select(*df.columns)
 
 
 def flagged(df: DataFrame, text: str, order: str) -> DataFrame:

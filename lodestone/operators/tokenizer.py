@@ -1,6 +1,7 @@
 """Byte-level pair encoding: pretokens, frequencies, training over distinct segments, encoding and decoding.
 
-Ids 0 to 7 are control tokens, 8 to 263 bytes, and merges follow from 264 on in the order in which they were learnt.
+Ids 0 to 7 are control tokens, 8 to 263 bytes in the order of their printable characters, and merges follow from 264 on in
+the order in which they were learnt.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.symbols import BYTE_IDS, BYTES_FROM, IN_ORDER
 from lodestone.operators.chat import SPECIAL_IDS
 from lodestone.operators.shards import byte_tokens
 from lodestone.operators.tensors import let
 from lodestone.session import drop, saved, scratch
 from lodestone.ship import ship
 
-BYTES_FROM, MERGES_FROM, MOST_IDS = 8, 264, 1 << 16
+MERGES_FROM, MOST_IDS = 264, 1 << 16
 #: What counts as white space, and the pattern of pretokens. A run of blanks leaves its last one to what follows.
-SPACE = r"\s\x1c-\x1f\x85\xa0  -     　"
+SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 _exact = regex.compile(PATTERN).findall
 
@@ -68,13 +70,6 @@ def best_pair(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("count"), "left", "right").limit(1)
 
 
-def byte_symbols() -> list[tuple[int, str]]:
-    """(byte, printable character): itself where Latin-1 prints it, else the next character from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = [b for b in range(256) if b not in shown]
-    return [(b, chr(b) if b in shown else chr(0x100 + hidden.index(b))) for b in range(256)]
-
-
 def merged(ids: Column, left: int, right: int, new: int) -> Column:
     """Ids with each occurrence of the pair replaced, from the left, without overlap."""
     start = F.array().cast("array<int>")
@@ -99,7 +94,7 @@ class BytePairs:
     def __post_init__(self):
         if MERGES_FROM + len(self.merges) > MOST_IDS:
             raise ValueError("more ids than 16 bits hold")
-        self.vocabulary.extend([*[None] * BYTES_FROM, *(bytes([b]) for b in range(256))])
+        self.vocabulary.extend([*[None] * BYTES_FROM, *(bytes([b]) for b in IN_ORDER)])
         for k, (a, b) in enumerate(self.merges):
             if not (BYTES_FROM <= a < MERGES_FROM + k and BYTES_FROM <= b < MERGES_FROM + k):
                 raise ValueError(f"merge {k} names an id that can't be merged")
@@ -109,7 +104,7 @@ class BytePairs:
 
     def encode_bytes(self, data: bytes) -> list[int]:
         """The pair learnt first goes first, from the left; by a heap over linked neighbours, so long inputs stay fast."""
-        ids = [BYTES_FROM + b for b in data]
+        ids = [BYTE_IDS[b] for b in data]
         n, ranks = len(ids), self.ranks
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i) for i in range(n - 1) if (r := ranks.get((ids[i], ids[i + 1]))) is not None]
@@ -164,7 +159,7 @@ class _Segments:
     """Distinct segments with an index from pairs to the segments that hold them; a merge touches those alone."""
 
     def __init__(self, frequencies: Iterable[tuple[bytes, int]]):
-        self.rows = [([BYTES_FROM + b for b in s], n) for s, n in sorted(frequencies)]
+        self.rows = [([BYTE_IDS[b] for b in s], n) for s, n in sorted(frequencies)]
         self.counts: Counter = Counter()
         self.where: dict[tuple[int, int], set[int]] = defaultdict(set)
         for k in range(len(self.rows)):
@@ -239,7 +234,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _from_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0).cast(pa.binary()).to_pylist()
-        ids = np.frombuffer(b"".join(texts), np.uint8).astype(np.int32) + BYTES_FROM
+        ids = np.array(BYTE_IDS, np.int32)[np.frombuffer(b"".join(texts), np.uint8)]
         ends = np.cumsum([0, *map(len, texts)], dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), batch.column(1)], names=["ids", "frequency"])
 
@@ -369,6 +364,51 @@ def train(docs: DataFrame, text: str, size: int, least: int = 2, mode: str = "gp
     return BytePairs(tuple(merges), mode)
 
 
+def _replace_pair(ids: list[int], pair: tuple[int, int], new: int) -> list[int]:
+    out: list[int] = []
+    for x in ids:
+        if out and (out[-1], x) == pair:
+            out[-1] = new
+        else:
+            out.append(x)
+    return out
+
+
+def plain_merges(frequencies: DataFrame, most: int, least: int = 2) -> list[tuple[int, int]]:
+    """Merges by the definition alone, for checks on samples: all pairs are counted anew for each merge."""
+    rows = [([BYTE_IDS[b] for b in r["segment"].encode()], r["frequency"]) for r in frequencies.toLocalIterator()]
+    merges: list[tuple[int, int]] = []
+    while len(merges) < most:
+        counts: Counter = Counter()
+        for ids, n in rows:
+            for p in zip(ids, ids[1:], strict=False):
+                counts[p] += n
+        best = min(counts, key=lambda p: (-counts[p], p), default=None)
+        if best is None or counts[best] < least:
+            break
+        rows = [(_replace_pair(ids, best, MERGES_FROM + len(merges)), n) for ids, n in rows]
+        merges.append(best)
+    return merges
+
+
+def plainly_encoded(spark, pairs: BytePairs, text: Column) -> Column:
+    """What encoded() gives, by the definition alone: merges are applied one after the other, in their order."""
+    shared = ship(spark).sparkContext.broadcast((pairs.merges, pairs.mode))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        merges, mode = shared.value
+        for texts in batches:
+            out = []
+            for t in texts.to_pylist():
+                parts = [[BYTE_IDS[b] for b in s.encode()] for s in split_text(t, mode)]
+                for k, pair in enumerate(merges):
+                    parts = [_replace_pair(ids, pair, MERGES_FROM + k) if len(ids) > 1 else ids for ids in parts]
+                out.append([x for ids in parts for x in ids])
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    return F.arrow_udf(run, "array<int>")(F.coalesce(text, F.lit("")))
+
+
 def encoded(spark, pairs: BytePairs, text: Column, whole: bool = False, special: Collection[str] = ()) -> Column:
     """Ids of a text column. whole: the bytes of the text at once, as shards are built; else by pretokens, as chats are."""
     shared = ship(spark).sparkContext.broadcast((pairs.merges, pairs.mode))  # 65,272 merges at most
@@ -382,6 +422,18 @@ def encoded(spark, pairs: BytePairs, text: Column, whole: bool = False, special:
     return F.arrow_udf(run, "array<int>")(text)
 
 
+def encoded_each(spark, pairs: BytePairs, texts: Column) -> Column:
+    """Ids of each text of an array column, by pretokens, as messages of a chat are encoded."""
+    shared = ship(spark).sparkContext.broadcast((pairs.merges, pairs.mode))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = BytePairs(*shared.value)
+        for rows in batches:
+            yield pa.array([None if r is None else [None if t is None else own.encode(t) for t in r] for r in rows.to_pylist()], pa.list_(pa.list_(pa.int32())))
+
+    return F.arrow_udf(run, "array<array<int>>")(texts)
+
+
 def decoded(spark, pairs: BytePairs, ids: Column, render_special: bool = False, errors: str = "strict") -> Column:
     shared = ship(spark).sparkContext.broadcast((pairs.merges, pairs.mode))
 

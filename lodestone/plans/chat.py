@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.catalog import query
+from lodestone.catalog import byte_id, query
 from lodestone.operators import chat
 from lodestone.session import table
 
 MAX, BUDGET = 1024, 1022
 
-_BYTES = """
-    t AS (SELECT conv_id, turn, role, text, CASE WHEN strlen(text) = 0 THEN [] ELSE list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')), ' '), lambda h: ('0x' || h)::INTEGER + 8) END AS b FROM conversations),
+_BYTES = f"""
+    t AS (SELECT conv_id, turn, role, text, CASE WHEN strlen(text) = 0 THEN [] ELSE list_transform(string_split(rtrim(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g')), ' '), lambda h: {byte_id("('0x' || h)::INTEGER")}) END AS b FROM conversations),
     i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, CASE role WHEN 'system' THEN 3 WHEN 'user' THEN 4 ELSE 5 END AS rid FROM t),
     blk AS (SELECT *, [rid] || b || [6] AS ids, CASE WHEN role = 'assistant' THEN [-100] || b || [6] ELSE list_transform([rid] || b || [6], lambda x: -100) END AS lab FROM i)"""
 _GRAMMAR = "regexp_full_match(string_agg(role, ',' ORDER BY turn), '(system,)?user(,assistant,user)*(,assistant)?|system')"

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.catalog import query
+from lodestone.functions.symbols import BYTE_IDS
 from lodestone.operators import reports
+from lodestone.operators.shards import byte_tokens
 from lodestone.session import table
 
 
@@ -48,12 +50,16 @@ def calibration_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("architecture", "cell", F.round("median", 6).alias("median"), r9("spread"), F.round("baseline_median", 6).alias("baseline_median"), r9("baseline_spread"), r9("speedup"), "stable", "parity", "promoted")
 
 
-@query(f"WITH {_CELLS} SELECT architecture, cell, repetition, round(throughput, 6) AS throughput, round(b.throughput, 6) AS baseline_value, b.throughput IS NULL AS missing_baseline FROM (SELECT * FROM c WHERE cell <> 'cell-0') c LEFT JOIN (SELECT architecture, repetition, throughput FROM c WHERE cell = 'cell-0' AND repetition <> 2) b USING (architecture, repetition)".replace("round(throughput, 6) AS throughput", "round(c.throughput, 6) AS throughput"))
+@query(f"""
+    WITH {_CELLS}, p AS (SELECT *, CASE WHEN cell = 'cell-3' AND architecture = 'N' THEN 'other' ELSE 'plan' END AS plan FROM c),
+         b AS (SELECT architecture, repetition, throughput, plan FROM p WHERE cell = 'cell-0' AND repetition <> 2)
+    SELECT p.architecture, p.cell, p.repetition, round(p.throughput, 6) AS throughput, round(b.throughput, 6) AS baseline_value, b.plan IS NULL AS missing_baseline, b.plan IS NOT NULL AND b.plan <> p.plan AS incompatible
+    FROM p LEFT JOIN b ON p.architecture = b.architecture AND p.repetition = b.repetition WHERE p.cell <> 'cell-0'""")
 def baseline_requirement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every candidate needs the baseline of its repetition; the second one's is taken away."""
-    rows = _cells(spark, sf_dir).filter("not (cell = 'cell-0' and repetition = 2)")
-    out = reports.with_baseline(rows, "cell-0", "architecture", "repetition")
-    return out.select("architecture", "cell", "repetition", F.round("throughput", 6).alias("throughput"), F.round("baseline_value", 6).alias("baseline_value"), "missing_baseline")
+    """Every candidate needs the baseline of its repetition and plan; the second one's is taken away, and one cell is of another plan."""
+    rows = _cells(spark, sf_dir).filter("not (cell = 'cell-0' and repetition = 2)").withColumn("plan", F.expr("if(cell = 'cell-3' and architecture = 'N', 'other', 'plan')"))
+    out = reports.with_baseline(rows, "cell-0", "architecture", "repetition", bound=["plan"])
+    return out.select("architecture", "cell", "repetition", F.round("throughput", 6).alias("throughput"), F.round("baseline_value", 6).alias("baseline_value"), "missing_baseline", "incompatible")
 
 
 @query(f"WITH {_CELLS} SELECT c.architecture, c.cell, c.repetition, round(c.throughput / b.throughput, 9) AS ratio FROM c JOIN c b ON b.architecture = c.architecture AND b.repetition = c.repetition AND b.cell = 'cell-0' WHERE c.cell <> 'cell-0'")
@@ -82,9 +88,13 @@ def plan_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.plan_matrix(spark, architecture=["dense", "mamba2", "diffusion"], seed=[1337, 2027, 3407], repetition=[1, 2, 3])
 
 
-@query("SELECT l_shipmode_stand_in AS cell, min(l_returnflag) = max(l_returnflag) AS same_l_returnflag, min(l_linestatus) = max(l_linestatus) AS same_l_linestatus FROM (SELECT *, l_orderkey AS l_shipmode_stand_in FROM lineitem) GROUP BY 1")
+@query("""
+    WITH r AS (SELECT l_orderkey AS cell, l_returnflag, CASE WHEN l_linenumber > 2 THEN l_linestatus END AS l_linestatus FROM lineitem)
+    SELECT cell, count(DISTINCT l_returnflag) = 1 AS same_l_returnflag, count(DISTINCT coalesce(l_linestatus, 'none')) = 1 AS same_l_linestatus FROM r GROUP BY 1""")
 def constancy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.constant(table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "cell"), "cell", "l_returnflag", "l_linestatus")
+    """The first two lines of an order have no status: with others that is a second value, alone it is the only one."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("cell"), "l_returnflag", F.when(F.col("l_linenumber") > 2, F.col("l_linestatus")).alias("l_linestatus"))
+    return reports.constant(rows, "cell", "l_returnflag", "l_linestatus")
 
 
 @query("SELECT l_orderkey AS variant, count(DISTINCT l_linenumber) AS seeds FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) <> 3")
@@ -184,18 +194,17 @@ def strict_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT p_brand AS variant, count(*) AS evaluations, min(p_retailprice) AS loss FROM part WHERE p_size % 5 = 0 GROUP BY 1), g AS (SELECT p_brand AS variant, count(*) AS generations, max(p_retailprice) AS rate FROM part WHERE p_size % 7 = 0 GROUP BY 1),
-         v AS (SELECT DISTINCT p_brand AS variant FROM part)
-    SELECT variant, coalesce(evaluations, 0) AS evaluations, coalesce(generations, 0) AS generations, loss, rate, evaluations IS NOT NULL AND generations IS NOT NULL AS complete FROM v LEFT JOIN e USING (variant) LEFT JOIN g USING (variant)""")
+    WITH v AS (SELECT p_brand AS variant, count(*) AS jobs, min(p_partkey % 2) AS model, min(p_partkey % 3) AS shards FROM part WHERE p_size = 10 GROUP BY 1),
+         e AS (SELECT p_brand AS variant, count(*) AS evaluations, min(p_partkey % 2) AS model, min(p_partkey % 3) AS shards FROM part WHERE p_size = 20 GROUP BY 1),
+         g AS (SELECT p_brand AS variant, count(*) AS generations, min(p_partkey % 2) AS model, min(p_partkey % 3) AS shards FROM part WHERE p_size = 30 GROUP BY 1),
+         j AS (SELECT variant, jobs, coalesce(evaluations, 0) AS evaluations, coalesce(generations, 0) AS generations,
+                      v.model IS NOT DISTINCT FROM e.model AND v.model IS NOT DISTINCT FROM g.model AND v.shards IS NOT DISTINCT FROM e.shards AND v.shards IS NOT DISTINCT FROM g.shards AS bound
+               FROM v LEFT JOIN e USING (variant) LEFT JOIN g USING (variant))
+    SELECT *, bound AND jobs = 1 AND evaluations = 1 AND generations = 1 AS complete FROM j""")
 def recommended_downstream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variants with their evaluation and generation records; complete where both are there."""
-    part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "variant")
-    e = part.filter("p_size % 5 = 0").groupBy("variant").agg(F.count("*").alias("evaluations"), F.min("p_retailprice").alias("loss"))
-    g = part.filter("p_size % 7 = 0").groupBy("variant").agg(F.count("*").alias("generations"), F.max("p_retailprice").alias("rate"))
-    rows = part.select("variant").distinct().join(e, "variant", "left").join(g, "variant", "left")
-    complete = F.col("evaluations").isNotNull() & F.col("generations").isNotNull()
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    return rows.select("variant", zero("evaluations"), zero("generations"), "loss", "rate", complete.alias("complete"))
+    """Jobs with their evaluation and generation records, complete where there is one of each and they bind; parts of three sizes stand for them."""
+    part = table(spark, sf_dir, "part").select(F.col("p_brand").alias("variant"), (F.col("p_partkey") % 2).alias("model"), (F.col("p_partkey") % 3).alias("shards"), "p_size")
+    return reports.downstream(*(part.filter(F.col("p_size") == k) for k in (10, 20, 30)), "variant", ["model", "shards"])
 
 
 @query("SELECT l_orderkey, l_linenumber, o_totalprice AS reference FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
@@ -206,25 +215,28 @@ def logprob_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT doc_id AS c, CASE WHEN doc_id >= 200 THEN doc_id - 200 END AS p FROM documents),
-         chain(origin, depth, node) AS (SELECT c, 0, c FROM e WHERE c % 10 = 7 UNION ALL SELECT origin, depth + 1, p FROM chain JOIN e ON node = c WHERE p IS NOT NULL)
+    WITH RECURSIVE e AS (SELECT doc_id AS c, CASE WHEN doc_id > 0 THEN doc_id // 2 END AS p FROM documents),
+         chain(origin, depth, node) AS (SELECT c, 0, c FROM e UNION ALL SELECT origin, depth + 1, p FROM chain JOIN e ON node = c WHERE p IS NOT NULL)
     SELECT origin, depth, node FROM chain""")
 def lineage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") >= 200, F.col("doc_id") - 200).alias("parent"))
-    return reports.lineage(edges, "doc_id", "parent", F.col("doc_id") % 10 == 7)
+    """The ancestors of every document; a document's parent has half its id, so that all chains together stay in proportion."""
+    edges = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") > 0, F.floor(F.col("doc_id") / 2)).alias("parent"))
+    return reports.lineage(edges, "doc_id", "parent")
 
 
-@query("SELECT o_orderkey, o_orderstatus AS token, CASE o_orderstatus WHEN 'F' THEN 78 WHEN 'O' THEN 87 WHEN 'P' THEN 88 END AS token_id FROM orders")
+@query("SELECT o_orderkey, o_orderstatus AS token, CASE o_orderstatus WHEN 'F' THEN 45 WHEN 'O' THEN 54 WHEN 'P' THEN 55 END AS token_id FROM orders")
 def token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte tokens by a table of 256 rows, which is sent to every task."""
-    names = spark.range(256).select((F.col("id") + 8).cast("int").alias("token_id"), F.char("id").alias("token"))
+    """Byte tokens by a table of the ASCII bytes, which is sent to every task."""
+    names = spark.createDataFrame([(BYTE_IDS[b], chr(b)) for b in range(128)], "token_id int, token string")
     return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("token")).join(F.broadcast(names), "token").select("o_orderkey", "token", "token_id")
 
 
-@query("SELECT p_brand AS name, round(avg(p_retailprice), 6) AS loss, row_number() OVER (ORDER BY round(avg(p_retailprice), 6), p_brand)::INTEGER AS position FROM part GROUP BY p_brand")
+@query("""
+    WITH g AS (SELECT p_brand AS name, round(avg(p_retailprice), 6) AS loss, round(avg(p_size), 1) AS throughput FROM part GROUP BY p_brand)
+    SELECT *, row_number() OVER (ORDER BY loss, name)::INTEGER AS position, row_number() OVER (ORDER BY throughput DESC, name)::INTEGER AS throughput_rank FROM g""")
 def variant_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_retailprice"), 6).alias("loss"))
-    return reports.ranked(groups, "loss", "name")
+    groups = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("name")).agg(F.round(F.avg("p_retailprice"), 6).alias("loss"), F.round(F.avg("p_size"), 1).alias("throughput"))
+    return reports.ranked(groups, "loss", "name", throughput="throughput")
 
 
 @query("""
@@ -247,7 +259,7 @@ def finite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", (~F.isnan(score) & (F.abs(score) != float("inf"))).alias("finite"))
 
 
-@query("SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, sum(n_chars)::BIGINT AS characters, round(sum(strlen(text)) / sum(n_chars), 9) AS bytes_per_character FROM documents GROUP BY source")
+@query("SELECT source, count(*) AS documents, sum(strlen(text) + 1)::BIGINT AS tokens, sum(strlen(text))::BIGINT AS bytes, sum(n_chars)::BIGINT AS characters, round(sum(strlen(text)) / sum(n_chars), 9) AS bytes_per_character FROM documents GROUP BY source")
 def encoding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.sum(F.octet_length("text")).cast("long")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), n.alias("bytes"), F.sum("n_chars").alias("characters"), r9(n / F.sum("n_chars"), "bytes_per_character"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum(F.size(byte_tokens(F.col("text"))) + 1).cast("long").alias("tokens"), n.alias("bytes"), F.sum("n_chars").alias("characters"), r9(n / F.sum("n_chars"), "bytes_per_character"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.catalog import query
+from lodestone.catalog import byte_id, query
 from lodestone.operators import shards, text
 from lodestone.plans.text import _SPLIT, POLICY
 from lodestone.session import table
@@ -95,10 +95,10 @@ def length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.length_buckets(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 256, 8)
 
 
-@query("SELECT doc_id, strlen(text)::INTEGER + 1 AS tokens, 2 AS last_token, ascii(text[1]) + 8 AS first_token FROM documents WHERE ascii(text[1]) < 128 AND strlen(text) > 0")
+@query(f"SELECT doc_id, n::INTEGER + 1 AS tokens, 2 AS last_token, {byte_id('b')} AS first_token FROM (SELECT doc_id, strlen(text) AS n, ('0x' || substr(hex(encode(text)), 1, 2))::INTEGER AS b FROM documents WHERE strlen(text) > 0)")
 def eos_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte ids and the end id; shown by length, first and last id where the first character is ASCII."""
-    rows = table(spark, sf_dir, "documents").filter((F.octet_length("text") > 0) & (F.ascii("text") < 128))
+    """Byte ids and the end id; shown by length, first and last id. An empty text has no first id and no row."""
+    rows = table(spark, sf_dir, "documents").filter(F.octet_length("text") > 0)
     ids = rows.select("doc_id", F.array_append(shards.byte_tokens(F.col("text")), shards.EOS).alias("ids"))
     return ids.select("doc_id", F.size("ids").alias("tokens"), F.element_at("ids", -1).alias("last_token"), F.element_at("ids", 1).alias("first_token"))
 

@@ -15,7 +15,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY ALL")
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events.complete(events.window_counts(_events(spark, sf_dir), "event_type"))
+    out = events.updated(events.window_counts(_events(spark, sf_dir), "event_type"), "start", "event_type")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("value", 6).alias("value"))
 
 

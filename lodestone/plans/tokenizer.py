@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.catalog import query
+from lodestone.catalog import byte_id, query
 from lodestone.functions import canonical
+from lodestone.functions.symbols import BYTE_IDS, BYTES_FROM, byte_symbols
 from lodestone.operators import digest, tokenizer
 from lodestone.operators.chat import SPECIAL_IDS
 from lodestone.operators.shards import byte_tokens
@@ -31,7 +32,7 @@ def segment_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COUNTS = f"""
     {_SEGMENTS.strip()}, f AS (SELECT hex(encode(segment)) AS h, count(*) AS frequency FROM seg GROUP BY segment),
-    p AS (SELECT frequency, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER + 8 AS "left", ('0x' || substr(h, 2 * i + 3, 2))::INTEGER + 8 AS "right" FROM (SELECT *, unnest(range(0, length(h) // 2 - 1)) AS i FROM f)),
+    p AS (SELECT frequency, {byte_id("x")} AS "left", {byte_id("y")} AS "right" FROM (SELECT frequency, ('0x' || substr(h, 2 * i + 1, 2))::INTEGER AS x, ('0x' || substr(h, 2 * i + 3, 2))::INTEGER AS y FROM (SELECT *, unnest(range(0, length(h) // 2 - 1)) AS i FROM f))),
     counts AS (SELECT "left", "right", sum(frequency)::BIGINT AS count FROM p GROUP BY ALL)"""
 
 
@@ -45,11 +46,11 @@ def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.best_pair(tokenizer.pair_counts(tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text")))
 
 
-@query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS frequency, strlen(replace(segment, 'en', '~'))::INTEGER AS ids FROM seg WHERE NOT contains(segment, '~') GROUP BY segment")
+@query(f"WITH {_SEGMENTS} SELECT segment, count(*) AS frequency, ((strlen(segment) + strlen(replace(segment, 'en', ''))) // 2)::INTEGER AS ids FROM seg GROUP BY segment")
 def merge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids that are left of each segment when "e" and "n" are merged; those with the SQL's stand-in "~" are left out, as there."""
-    rows = tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text").filter("not contains(segment, '~')")
-    ids = tokenizer.merged(byte_tokens(F.col("segment")), 8 + ord("e"), 8 + ord("n"), 264)
+    """The number of ids that are left of each segment when "e" and "n" are merged."""
+    rows = tokenizer.segment_frequencies(table(spark, sf_dir, "documents"), "text")
+    ids = tokenizer.merged(byte_tokens(F.col("segment")), BYTE_IDS[ord("e")], BYTE_IDS[ord("n")], 264)
     return rows.select("segment", "frequency", F.size(ids).alias("ids"))
 
 
@@ -91,12 +92,13 @@ def bpe_special(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.size("ids").alias("tokens"), controls.alias("controls"), (tokenizer.decoded(spark, pairs, F.col("ids"), render_special=True) == F.col("text")).alias("round_trip"))
 
 
-@query()
+@query("""
+    SELECT count(*) AS documents, sha256(unhex(string_agg(lpad(lower(to_hex(strlen(coalesce(text, '')))), 16, '0') || hex(encode(coalesce(text, ''))), '' ORDER BY doc_id))) AS sha256 FROM documents""")
 def stream_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.stream_digest(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query()
+@query("SELECT event_id, event_id % 3 = 0 AS canonical FROM events")
 def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which lines of a log are in canonical form: a third have a blank too many, a third have their keys in the wrong order."""
     kind = F.col("event_id") % 3
@@ -107,7 +109,9 @@ def canonical_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", canonical.is_canonical(line).alias("canonical"))
 
 
-@query()
+@query("""
+    WITH t AS (SELECT '{"first":"<|bos|>","last":"<|eos|>","special_tokens":{"<|assistant|>":5,"<|bos|>":1,"<|end|>":6,"<|eos|>":2,"<|mask|>":7,"<|pad|>":0,"<|system|>":3,"<|user|>":4},"turn":"<|{role}|>{content}<|end|>","version":1}' AS template)
+    SELECT template, sha256(template) AS sha256 FROM t""")
 def template_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The identity of the chat template: SHA-256 of its canonical JSON."""
     template = {"special_tokens": SPECIAL_IDS, "turn": "<|{role}|>{content}<|end|>", "first": "<|bos|>", "last": "<|eos|>", "version": 1}
@@ -120,12 +124,11 @@ def template_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT byte, chr(point::INTEGER) AS symbol, (row_number() OVER (ORDER BY point) - 1)::INTEGER AS place FROM c""")
 def byte_symbol_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, the printable characters that stand for them, and their places in the order of those."""
-    rows = tokenizer.byte_symbols()
-    place = {s: k for k, s in enumerate(sorted(s for _, s in rows))}
-    return spark.createDataFrame([(b, s, place[s]) for b, s in rows], "byte int, symbol string, place int")
+    return spark.createDataFrame([(b, s, BYTE_IDS[b] - BYTES_FROM) for b, s in enumerate(byte_symbols())], "byte int, symbol string, place int")
 
 
-@query()
+@query("""
+    SELECT s::BIGINT::INTEGER AS seed, r::INTEGER AS rank, sha256('{"layers":6,"rank":0,"seed":' || s || '}') AS sha256 FROM range(1, 3) a(s), range(0, 2) b(r)""")
 def config_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations whose rank is left out of their identity: all ranks have one hash."""
     own = [{"seed": s, "layers": 6, "rank": r, "compile": False} for s in (1, 2) for r in (0, 1)]

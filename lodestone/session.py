@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
 import uuid
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,10 +52,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage; the files go when the driver's Python ends."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, tag)
+    path = saved_path(df, tag)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_path(df: DataFrame, tag: str) -> str:
+    """The folder in which df has been written."""
+    path = scratch(df.sparkSession, tag)
     atexit.register(drop, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def drop(path: str) -> None:
@@ -61,6 +69,7 @@ def drop(path: str) -> None:
 
     try:
         where, inner = filesystem(path)
-        where.delete_dir(inner)
-    except Exception:  # noqa: BLE001  at exit; the folder may never have been written
-        pass
+        if where.get_file_info(inner).type != FileType.NotFound:
+            where.delete_dir(inner)
+    except Exception as e:  # noqa: BLE001  at exit, where nobody could take care of it
+        logging.getLogger(__name__).warning("scratch data stays in %s: %s", path, e)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,6 +52,31 @@ def remove_folder(path: str) -> None:
         where.delete_dir(inner)
 
 
+def listing(path: str) -> list[tuple[str, int]]:
+    """(name relative to path, bytes) of all files below it, hidden ones included; checksum files of Spark's writers aside."""
+    where, inner = filesystem(path)
+    found = where.get_file_info(pafs.FileSelector(inner, recursive=True, allow_not_found=True))
+    names = [(os.path.relpath(f.path, inner), f.size) for f in found if f.is_file]
+    return sorted((n, size) for n, size in names if not n.endswith(".crc") and os.path.basename(n) != "_SUCCESS")
+
+
+def digests(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """(file, bytes, sha256) of files below path, read in pieces, a task a file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name in (n for b in batches for n in b.column(0).to_pylist()):
+            where, inner = filesystem(f"{path}/{name}")
+            h, n = hashlib.sha256(), 0
+            with where.open_input_stream(inner) as f:
+                while piece := f.read(1 << 20):
+                    h.update(piece)
+                    n += len(piece)
+            yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([n], pa.int64()), "sha256": [h.hexdigest()]})
+
+    listed = spark.createDataFrame(spark.sparkContext.parallelize([(n,) for n in names], max(1, len(names))), "file string")
+    return listed.mapInArrow(run, "file string, bytes long, sha256 string")
+
+
 def read(path: str) -> bytes:
     where, inner = filesystem(path)
     with where.open_input_stream(inner) as f:

@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestone.operators import metrics
 from lodestone.session import scratch
 from lodestone.ship import ship
+from lodestone.sources import files
 
 
 def read(spark: SparkSession, path: str, clock: str = "ts") -> DataFrame:
@@ -47,6 +48,17 @@ def complete(stream: DataFrame) -> DataFrame:
     return spark.read.parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
 
 
+def updated(stream: DataFrame, *key: str) -> DataFrame:
+    """The last state of each key of an aggregating stream: a batch writes the rows that it changed, and a batch that is run
+    again replaces its own. State behind the watermark is freed."""
+    spark, top = stream.sparkSession, scratch(stream.sparkSession, "table")
+    finished(stream, "update", lambda batch, number: batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{top}/{number}"))
+    if not files.exists(top):
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("_batch", "long")).parquet(f"{top}/*")
+    return metrics.latest(rows, list(key), ["_batch"]).drop("_batch")
+
+
 def appended(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that a stream has put out; a batch that is run again replaces its own rows."""
     spark, top = stream.sparkSession, scratch(stream.sparkSession, "table")

@@ -143,8 +143,49 @@ def test_truncation_is_the_loop(spark):
         assert [(p["role"], p["content"]) for p in got[k]["parts"]] == own
 
 
+#: Ids by rank of the printable characters: those of the bytes that Latin-1 prints, then U+0100 and on for the others.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE = {b: 8 + k for k, b in enumerate(_SHOWN + [b for b in range(256) if b not in _SHOWN])}
+
+
+def test_byte_ids(spark):
+    """Hand vectors: "!" is the first id, "a" 72, a blank 228; blanks, tabs and line breaks come after all printed bytes."""
+    assert (BYTE[ord("!")], BYTE[ord("a")], BYTE[ord(" ")], BYTE[0], BYTE[0xAD]) == (8, 72, 228, 196, 263)
+    text = "a !\n\té\u00ad\x00ÿ"
+    assert spark.createDataFrame([(text,)], "t string").select(shards.byte_tokens(F.col("t"))).first()[0] == [BYTE[b] for b in text.encode()]
+    assert tokenizer.BytePairs(()).encode_bytes(bytes(range(256))) == [BYTE[b] for b in range(256)]
+    assert tokenizer.BytePairs(()).decode_bytes(range(8, 264)) == bytes(sorted(BYTE, key=BYTE.get))
+
+
+def test_merges_by_hand(spark):
+    """ "\\n\\n\\n" and "a a a" once each, mode "none". Ids: a line break 206, a blank 228, "a" 72. Counts: (206, 206) 2, (72, 228) 2,
+    (228, 72) 2; the tie goes to (72, 228) = 264, which leaves 264 264 72; then (206, 206) = 265 has 2, and all others 1, of
+    which (264, 72) = 266 comes first, then (264, 266), then (265, 206)."""
+    df = spark.createDataFrame([("\n\n\n",), ("a a a",)], "text string")
+    for most in (5_000_000, 1):
+        got = tokenizer.train(df, "text", 264 + 9, 1, "none", most_segments=most)
+        assert got.merges == ((72, 228), (206, 206), (264, 72), (264, 266), (265, 206))
+
+
+def test_chats_with_a_tokenizer(spark):
+    """Blocks, labels and truncation over the ids of a trained tokenizer, against assembling them by hand."""
+    turns = (("system", "Be brief."), ("user", "banana bandana"), ("assistant", "naïve banana"), ("user", ""), ("assistant", "an"))
+    pairs = tokenizer.train(spark.createDataFrame([(c,) for _, c in turns] * 3, "text string"), "text", 264 + 12, 1)
+    df = conversation(spark, *turns)
+    df = df.select(chat.blocks(F.col("messages"), lambda texts: tokenizer.encoded_each(spark, pairs, texts)).alias("parts"))
+    got = df.select(chat.input_ids(F.col("parts")).alias("ids"), chat.labels(F.col("parts")).alias("labels")).first()
+    ids, labels = [1], [-100]
+    for role, content in turns:
+        own = [*pairs.encode(content), 6]
+        ids += [chat.SPECIAL_IDS[f"<|{role}|>"], *own]
+        labels += [-100, *(own if role == "assistant" else [-100] * len(own))]
+    assert got["ids"] == [*ids, 2] and got["labels"] == [*labels, 2] and max(ids) >= 264
+    cut = chat.truncated(df, "parts", F.lit(14)).first()
+    assert cut["fits"] and cut["dropped_pairs"] == 1
+
+
 def naive_merges(freqs, size, least):
-    seqs, merges = {s: [8 + b for b in s] for s in freqs}, []
+    seqs, merges = {s: [BYTE[b] for b in s] for s in freqs}, []
     while 264 + len(merges) < size:
         counts = {}
         for s, ids in seqs.items():
@@ -182,11 +223,11 @@ def test_training_is_greedy(spark):
     assert len(part.merges) == 4 and tokenizer.train(df, "text", 264 + 30, 1, first=part.merges).merges == pairs.merges
     assert tokenizer.train(df, "text", 264 + len(pairs.merges), 1, first=pairs.merges, pause_after=9).merges == pairs.merges
     abac = tokenizer.train(spark.createDataFrame([("abac",)], "text string"), "text", 265, 1)
-    assert abac.merges == ((8 + 97, 8 + 98),)
+    assert abac.merges == ((72, 73),)
 
 
 def naive_encode(pairs, data):
-    ids = [8 + b for b in data]
+    ids = [BYTE[b] for b in data]
     while True:
         best = min((pairs.ranks[p] for p in zip(ids, ids[1:]) if p in pairs.ranks), default=None)
         if best is None:
@@ -382,8 +423,8 @@ def test_packing_of_a_document_above_the_cap(spark, tmp_path):
     assert compare(spark, names, catalog.QUERIES, catalog.ORACLES, f"{tmp_path}/t") == []
 
 
-def test_merge_pair_leaves_out_segments_not_documents(spark, tmp_path):
+def test_merge_pair_leaves_out_nothing(spark, tmp_path):
     from lodestone.plans.tokenizer import merge_pair
 
     spark.createDataFrame([(1, "ten ~ hens")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert rows(merge_pair(spark, str(tmp_path)), "segment") == [(" hens", 1, 4), ("ten", 1, 2)]
+    assert rows(merge_pair(spark, str(tmp_path)), "segment") == [(" hens", 1, 4), (" ~", 1, 2), ("ten", 1, 2)]
