@@ -10,6 +10,7 @@ chooses the states at the borders (a few numbers a range), and every range then
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shared_dir, tidied
+from lodestone.llm.common import tidied
+from lodestone.session import shared_dir
 from lodestone.ship import ship
 
 ROLES = ("system", "user", "assistant")
@@ -146,9 +148,14 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | No
         yield conv, roles, turns, texts
 
 
-def render(step: Step, text: str, first: bool, last: bool, marks: dict[str, str]) -> str:
+def _marks(marks: dict[str, str]) -> re.Pattern:
+    own = {marks["end"].strip(), *(marks["open"].format(role).strip() for role in ROLES)} - {""}
+    return re.compile("|".join(map(re.escape, sorted(own, key=len, reverse=True))) or "(?!)")
+
+
+def render(step: Step, text: str, first: bool, last: bool, marks: dict[str, str], found: re.Pattern) -> str:
     """What a turn adds to the rendered conversation; all turns' pieces in order are the whole."""
-    text = text.replace("<|", "< |")  # no mark can come from a text
+    text = found.sub(lambda m: f"{m[0][0]} {m[0][1:]}", text)  # no mark can come from a text
     out = "\n" + text if step.action.startswith("merge") else ("" if first else marks["end"]) + (marks["open"].format(ROLES[step.inserted - 1]) + marks["end"] if step.inserted else "") + marks["open"].format(ROLES[step.state - 1]) + text
     return out + marks["end"] if last else out
 
@@ -162,8 +169,10 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     Concatenated in the order of turns (ties: role, then text), `rendered` is the repaired conversation. A null or unknown
     role is always relabelled, roles are compared in lower case without outer blanks, a null text is empty, rows with a
     null id make one conversation, null turns come first, and repeated rows are turns of their own. A conversation may
-    end with either side. Other columns are left aside; an empty table gives no row. A conversation of any length is
-    spread over as many ranges as its rows fill.
+    end with either side. A text that holds one of the marks themselves gets a blank after the mark's first character,
+    so that a reader finds no turn that isn't there; everything else in a text stays as it is. Other columns are left
+    aside; an empty table gives no row. A conversation of any length is spread over as many ranges as its rows fill, and a
+    very long text is one row's.
     """
     spark = ship(turns.sparkSession)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -188,6 +197,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     known = borders(sorted((r.asDict() for r in rows.select("_conv", "_turn", "_role", F.lit("").alias("_text")).mapInArrow(tidied(summarise), _SUMMARY).collect()), key=lambda r: r["part"]))
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inside = _marks(marks)
         entry, leave, goes_on = known.get(TaskContext.get().partitionId(), (START, None, False))
         found, out, size = _conversations(batches), [], 0
         now = next(found, None)
@@ -196,7 +206,7 @@ def format_chats(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
             conv, roles, numbers, texts = now
             path = machine.trace(roles, entry, leave if following is None else None)
             for k, (step, number, text) in enumerate(zip(path, numbers, texts, strict=True)):
-                piece = render(step, text, entry == START and k == 0, k == len(path) - 1 and not (following is None and goes_on), marks)
+                piece = render(step, text, entry == START and k == 0, k == len(path) - 1 and not (following is None and goes_on), marks, inside)
                 out.append((conv, number, ROLES[step.state - 1], step.action, ROLES[step.inserted - 1] if step.inserted else None, step.cost, piece))
                 size += len(piece) + 64
                 if size > 8 << 20:

@@ -1,21 +1,17 @@
-"""What the operators share: scratch tables in the shared folder, file access, size checks."""
+"""What the operators share: scratch folders, rows for Python, batches of bounded size, size checks."""
 
 from __future__ import annotations
 
 import atexit
 import ctypes
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.session import shared_dir
+from lodestone import session
 from lodestone.ship import ship
-from lodestone.sources.files import filesystem
 
 #: Bytes of a table that may be broadcast where the session's own threshold says nothing.
 BROADCAST_BYTES = 10 << 20
@@ -23,47 +19,11 @@ BROADCAST_BYTES = 10 << 20
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A folder name below the shared folder that no other run has; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    atexit.register(_drop, path)
+    path = session.scratch(spark, tag)
+    atexit.register(session.drop, path)
     return path
 
 
-def _drop(path: str) -> None:
-    try:
-        where, inner = filesystem(path)
-        where.delete_dir(inner)
-    except Exception:  # noqa: BLE001  at exit; the folder may never have been written
-        pass
-
-
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, and any executor can read it after a loss."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def publish(path: str, data: bytes | memoryview) -> None:
-    """Write a file under another name and rename it, so that a repeated task leaves whole files only."""
-    where, inner = filesystem(path)
-    where.create_dir(os.path.dirname(inner), recursive=True)
-    part = f"{inner}.{uuid.uuid4().hex}.tmp"
-    with where.open_output_stream(part) as out:
-        out.write(data)
-    settle(where, part, inner)
-
-
-def settle(where: pafs.FileSystem, part: str, inner: str) -> None:
-    """Give a finished file its name; where another run of the task was first and names can't be taken over, its file stays."""
-    try:
-        where.move(part, inner)
-    except OSError:
-        if where.get_file_info(inner).type != pafs.FileType.File or where.get_file_info(inner).size != where.get_file_info(part).size:
-            raise
-        where.delete_file(part)
-
-
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> bool:
     """Whether df's rows, counted, fit the session's broadcast threshold at row_bytes each."""
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", str(BROADCAST_BYTES))
@@ -121,7 +81,3 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, tidied
+from lodestone.llm.common import tidied
+from lodestone.session import saved
 
 #: Edges that one task folds in some 100 MB.
 ONE_TASK = 1 << 20

@@ -22,8 +22,10 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, filesystem, give_back, pieces, saved, scratch, tidied
+from lodestone.llm.common import documents, give_back, pieces, scratch, tidied
+from lodestone.session import saved
 from lodestone.ship import ship
+from lodestone.sources.files import filesystem
 
 WINDOW = 10
 #: Bytes of windows in one automaton, which takes some 15 times as much; what goes beyond is scanned for in further passes.

@@ -20,8 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, pieces, saved, tidied
+from lodestone.llm.common import documents, pieces, tidied
 from lodestone.llm.word_bpe import is_plain
+from lodestone.session import saved
 
 LENGTH, END, WINDOWS, GROUP = 2048, 1, 64, 256
 _SPECIAL = "<|endoftext|>"

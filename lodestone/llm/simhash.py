@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lodestone.llm.common import documents, pieces, saved, small, tidied
+from lodestone.llm.common import documents, pieces, small, tidied
 from lodestone.llm.components import components
+from lodestone.session import saved
 
 SHINGLE, SEED, DISTANCE, MOST = 3, 42, 2, 256
 #: Rows of one fingerprint from which on it is looked up by a broadcast, and not in one task.

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.symbols import byte_symbols
 from lodestone.llm import word_bpe
 from lodestone.llm.common import documents, gathered, tidied
 
@@ -28,7 +29,7 @@ class WordCounts(dict):
         super().__init__()
         self.most = remembered
         self.chunks = word_bpe.Chunks(lambda chunks: [sum(map(self.__getitem__, words)) for words in chunks], remembered)
-        self.symbols = word_bpe.byte_symbols()
+        self.symbols = byte_symbols()
         names: dict[str, int] = {}
         number = lambda s: names.setdefault(s, len(names))
         for s in self.symbols:

@@ -22,8 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.symbols import byte_symbols
 from lodestone.llm import word_bpe
-from lodestone.llm.common import documents, filesystem, gathered, publish, scratch, settle, tidied
+from lodestone.llm.common import documents, gathered, scratch, tidied
+from lodestone.sources.files import filesystem, publish, settle
 
 END = 2
 #: Words and chunks that a worker keeps, and bytes of text looked at together: a batch tells its repeats apart faster than a large memory does.
@@ -52,7 +54,7 @@ class WordIds:
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.zeros(size, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(word_bpe.END_OF_WORD)]] = True
-        self.symbols = dict(enumerate(word_bpe.byte_symbols()))
+        self.symbols = dict(enumerate(byte_symbols()))
         self.chunks = word_bpe.Chunks(self._chunks, remembered)
 
     def raw(self, ids: list[int]) -> bytes:
@@ -102,16 +104,22 @@ class _Part:
         self.where.create_dir(self.inner, recursive=True)
         self.temp = f"{self.inner}/{name}.bin.{uuid.uuid4().hex}.tmp"
         self.out, self.docs, self.ends = self.where.open_output_stream(self.temp), array("q"), array("q", [0])
+        self.held: list[bytes] = []
 
     def add(self, doc: int | None, raw: bytes) -> None:
-        self.out.write(raw)
+        self.held.append(raw)
         self.docs.append(NULL_ID if doc is None else doc)
         self.ends.append(self.ends[-1] + len(raw) // self.width)
 
+    def write(self) -> None:
+        self.out.write(b"".join(self.held))
+        self.held.clear()
+
     def full(self, part_bytes: int) -> bool:
         return self.ends[-1] * self.width >= part_bytes or len(self.docs) >= PART_DOCS
 
     def settle(self) -> dict:
+        self.write()
         self.out.close()
         settle(self.where, self.temp, f"{self.inner}/{self.name}.bin")
         index = b"".join(np.frombuffer(a, np.int64).astype("<i8").tobytes() for a in (array("q", [len(self.docs)]), self.ends, self.docs))
@@ -141,6 +149,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
                 if part.full(part_bytes):
                     made.append(part.settle())
                     part = None
+            if part:
+                part.write()
         if part:
             made.append(part.settle())
         if made:

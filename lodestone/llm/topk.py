@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved, tidied
+from lodestone.llm.common import tidied
+from lodestone.session import saved
 from lodestone.ship import ship
 
 K, SCALE, EVERY = 10, 1024, 100

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
 
-from lodestone.llm.common import filesystem, pieces, saved, scratch, settle, small, tidied
+from lodestone.llm.common import pieces, scratch, small, tidied
+from lodestone.session import saved
 from lodestone.ship import ship
+from lodestone.sources.files import filesystem, settle
 
 LEAST = 100
 #: Fixed values of the format.

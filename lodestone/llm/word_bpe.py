@@ -54,13 +54,6 @@ def split_words(text: str) -> list[str]:
     return _any_words("".join(map(str.lower, unicodedata.normalize("NFC", text))))
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself where Latin-1 prints it, else from U+0100 on."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in set(shown) else chr(next(rest)) for b in range(256)]
-
-
 def merge_ranks(path: str) -> dict[tuple[str, str], int]:
     with open(path, encoding="utf-8") as f:
         merges = json.load(f)["model"]["merges"]

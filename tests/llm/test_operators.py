@@ -13,9 +13,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import chat, decontamination, language, license_scan, packing, simhash, token_count, token_files, topk, warc
-from lodestone.llm.common import filesystem, scratch
+from lodestone.llm.common import scratch
 from lodestone.llm.components import components
 from lodestone.llm.queries import ORACLES, QUERIES, tokenizer_path
+from lodestone.sources.files import filesystem
 from tests.conftest import compare
 
 LONG = "The quick brown fox, jumps over 12 lazy dogs! Größe é " * 4000
@@ -368,6 +369,14 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_texts(spark):
+    """Empty and very long texts, and texts with marks or what only looks like them."""
+    long = "word <|> x |> f <| y " * 100_000
+    turns = [(1, 0, "user", ""), (1, 1, "assistant", long), (1, 2, "user", "a <|end|> b <|user|>\n<|tool|> <|"), (1, 3, "assistant", None)]
+    rows = sorted(chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect(), key=lambda r: r["turn"])
+    assert "".join(r["rendered"] for r in rows) == f"<|user|>\n<|end|>\n<|assistant|>\n{long}<|end|>\n<|user|>\na < |end|> b < |user|>\n<|tool|> <|<|end|>\n<|assistant|>\n<|end|>\n"
+
+
 # op6
 
 
@@ -390,6 +399,21 @@ def test_token_files(spark, sf_dir, docs, empty):
     assert token_files.encode_to_files(empty, WORD).count() == 0
 
 
+def test_word_ids_are_the_library():
+    """Ids over texts of all plain characters in all neighbourhoods equal those of the whole file's tokenizer."""
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.word_bpe import is_plain
+
+    t, own = Tokenizer.from_file(WORD), token_files.WordIds(WORD)
+    plain = [chr(c) for c in range(0x2100) if not 0xD800 <= c < 0xE000 and is_plain(chr(c))]
+    rnd, kinds = random.Random(12), (" ", "\n", "\xa0", "\x1c", "'s", "'LL", "12", "A", "é", ",", "<|endoftext|>", "ſ", "İ", "中")
+    texts = ["".join(plain), "", *(f"a{c}b {c} {c}{c}1{c}" for c in plain)]
+    texts += ["".join(rnd.choice(plain if rnd.random() < 0.5 else kinds) for _ in range(rnd.randint(1, 60))) for _ in range(4000)]
+    for text, raw, ids in zip(texts, own.texts(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(raw, own.kind).tolist() == ids.ids, text
+
+
 def test_repeated_rows_fill_no_task(spark):
     """A row that makes up most of the table is dealt over the tasks."""
     df = spark.createDataFrame([(1, "the same text")] * 900 + [(k, f"text {k}") for k in range(2, 102)], "doc_id long, text string").repartition(4)
@@ -777,17 +801,32 @@ def test_stages_on_odd_rows(spark, sf_dir, docs, empty):
 
 
 def test_rest_does_without(tmp_path):
-    """Without the two folders and the pipeline the entry still imports and has the other queries."""
+    """Without the two folders and the pipeline the entry imports and has the other queries, and their tests are found and run."""
     import shutil
     import subprocess
     import sys
     from pathlib import Path
 
     top = Path(__file__).resolve().parents[2]
-    shutil.copytree(top / "lodestone", tmp_path / "lodestone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("lodestone", "tests"):
+        shutil.copytree(top / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+    run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", *args], cwd=tmp_path, timeout=600, capture_output=True, text=True)
+    assert "error" not in run("--collect-only", "tests").stdout.lower()
+    some = run("tests", "-k", "test_entry or hash_split or test_byte_ids")
+    assert some.returncode == 0, some.stdout
+
+
+def test_missing_libraries_leave_the_rest(tmp_path):
+    """Where a library of the operators can't be imported, the other queries are there."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and 'op3_decontamination' not in q and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], check=True, timeout=120)
 
 
 def test_nothing_else_imports_this():
