@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontamination, language, packing, simhash
-from lodestone.llm.common import saved, table
 from lodestone.llm.queries import tokenizer_path
+from lodestone.session import saved, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

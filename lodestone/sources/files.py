@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.ship import ship
+
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """Arrow's file system for a URI or plain path, and the path inside it."""
@@ -26,7 +28,7 @@ def exists(path: str) -> bool:
     return where.get_file_info(inner).type != pafs.FileType.NotFound
 
 
-def publish(path: str, data: bytes, replace: bool = True) -> None:
+def publish(path: str, data: bytes | memoryview, replace: bool = True) -> None:
     """Write under another name, then rename; without `replace` an existing file is an error."""
     where, inner = filesystem(path)
     if not replace and exists(path):
@@ -35,7 +37,17 @@ def publish(path: str, data: bytes, replace: bool = True) -> None:
     part = f"{inner}.{uuid.uuid4().hex}.tmp"
     with where.open_output_stream(part) as out:
         out.write(data)
-    where.move(part, inner)
+    settle(where, part, inner)
+
+
+def settle(where: pafs.FileSystem, part: str, inner: str) -> None:
+    """Give a finished file its name; where another run of the task was first and names can't be taken over, its file stays."""
+    try:
+        where.move(part, inner)
+    except OSError:
+        if where.get_file_info(inner).type != pafs.FileType.File or where.get_file_info(inner).size != where.get_file_info(part).size:
+            raise
+        where.delete_file(part)
 
 
 def publish_folder(staged: str, path: str) -> None:
@@ -73,7 +85,7 @@ def digests(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
                     n += len(piece)
             yield pa.RecordBatch.from_pydict({"file": [name], "bytes": pa.array([n], pa.int64()), "sha256": [h.hexdigest()]})
 
-    listed = spark.createDataFrame(spark.sparkContext.parallelize([(n,) for n in names], max(1, len(names))), "file string")
+    listed = ship(spark).createDataFrame(spark.sparkContext.parallelize([(n,) for n in names], max(1, len(names))), "file string")
     return listed.mapInArrow(run, "file string, bytes long, sha256 string")
 
 

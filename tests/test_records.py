@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -428,3 +429,89 @@ def test_merge_pair_leaves_out_nothing(spark, tmp_path):
 
     spark.createDataFrame([(1, "ten ~ hens")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(merge_pair(spark, str(tmp_path)), "segment") == [(" hens", 1, 4), (" ~", 1, 2), ("ten", 1, 2)]
+
+
+def test_streams_are_reported(spark, tmp_path):
+    from lodestone.streaming import events, progress
+
+    spark.createDataFrame([(k, "2026-01-01 00:00:00", 1.0) for k in range(50)], "event_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    seen = []
+    with progress.watched(spark, seen.append):
+        rows = events.appended(events.read(spark, f"{tmp_path}/events.parquet").select("event_id"))
+        for _ in range(100):
+            if seen and seen[-1]["event"] == "end":
+                break
+            time.sleep(0.1)
+    assert rows.count() == 50 and [s["event"] for s in seen][:: len(seen) - 1] == ["start", "end"]
+    assert seen[-1]["rows"] == 50 and seen[-1]["error"] is None and any(s["event"] == "progress" and s["rows"] == 50 for s in seen)
+
+
+def test_next_fit_is_the_fold(spark):
+    """Ranges packed from the state at their starts give what one fold over all documents gives."""
+    rnd = random.Random(5)
+    docs = [(rnd.choice("ab"), k * 7919 % 100_003, rnd.choice([0, 1, 5, 30, 70, 99, 100, 250])) for k in range(3000)]
+    want, state = [], {}
+    for g, o, n in sorted(docs):
+        shard, fill = state.get(g, (0, 0))
+        if fill and fill + n > 100:
+            shard, fill = shard + 1, 0
+        want.append((g, o, n, shard, fill))
+        state[g] = shard, fill + n
+    df = spark.createDataFrame(docs, "g string, o long, n long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert rows(shards.next_fit(df, "g", "o", "n", 100, oversized=True), "g", "o") == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(Exception, match="larger than a shard"):
+        shards.next_fit(df, "g", "o", "n", 100).collect()
+    assert shards.next_fit(df.limit(0), "g", "o", "n", 100).count() == 0
+
+
+def test_running_sums_of_sparse_orders(spark):
+    from lodestone.operators.ordered import running_sum
+
+    rnd = random.Random(6)
+    ids = sorted({rnd.randrange(-(1 << 62), 1 << 62) for _ in range(400)})
+    df = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "i long, v long")
+    got = rows(running_sum(df, "i", F.col("v"), "s", width=20), "i")
+    assert [r[2] for r in got] == [k * (k + 1) // 2 for k in range(400)]
+    assert running_sum(df.limit(0), "i", F.col("v"), "s").count() == 0
+
+
+def test_nulls_are_values(spark):
+    df = spark.createDataFrame([("a", 5), ("a", None), ("b", None), ("c", 5), ("c", 5), ("d", 4), ("d", 5)], "g string, v int")
+    assert rows(reports.constant(df, "g", "v"), "g") == [("a", False), ("b", True), ("c", True), ("d", False)]
+
+
+def test_digest_is_in_order(spark):
+    texts = [f"text {k} é" * (k % 4) for k in range(500)]
+    df = spark.createDataFrame([(k * 31 % 500, texts[k * 31 % 500] or None) for k in range(500)], "i int, t string").repartition(7)
+    h = hashlib.sha256(b"".join(len(t.encode()).to_bytes(8, "big") + t.encode() for t in texts)).hexdigest()
+    assert tuple(digest.stream_digest(df, "i", "t").first()) == (500, h)
+    assert tuple(digest.stream_digest(df.limit(0), "i", "t").first()) == (0, hashlib.sha256().hexdigest())
+
+
+def test_copies_that_share_an_order(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (1, "b", 3), (2, "a", 4), (2, "c", 5), (3, "", 6)], "i int, t string, x int")
+    got = rows(text.first_occurrences(df, "t", "i").select("i", "t"), "i", "t")
+    assert got == [(1, "a"), (1, "b"), (2, "c")]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lodestone.session import shared_dir
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+        def set(self, key, value):
+            self[key] = value
+
+    spark = lambda master: SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master, applicationId="app", getConf=lambda: Conf()))
+    assert shared_dir(spark("local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(spark(master))
