@@ -32,5 +32,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-for _name in ("text", "chat", "selection", "shards", "metrics", "reports", "tensors", "tokenizer", "streams"):
+for _name in ("text", "chat", "selection", "shards", "metrics", "reports", "tensors", "tokenizer", "streams", "sources"):
     importlib.import_module(f"lodestone.plans.{_name}")

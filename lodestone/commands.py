@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import schedules
 from lodestone.functions.canonical import canonical, digest
 from lodestone.operators import chat, metrics, reports, selection, shards, text, tokenizer
-from lodestone.session import session
+from lodestone.session import saved, session
 from lodestone.sources import files, records, sinks
 from lodestone.study import SEEDS, ablation_downstream_report, evaluation_rollup, inspect_cell, model_summary, plan_ablations, pretrain_plan, smoke_report
 
@@ -97,7 +97,7 @@ def build_shards(spark: SparkSession, sample_path: str, tokenizer_path: str, out
     again = split.groupBy("content_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).collect()
     if again:
         raise ValueError(f"{again[0]['content_hash']} is there {again[0]['n']} times")
-    ids = split.select("split", "ordinal", "content_hash", F.array_append(tokenizer.encoded(spark, pairs, F.col("text"), whole=True), shards.EOS).alias("ids"))
+    ids = saved(split.select("split", "ordinal", "content_hash", F.array_append(tokenizer.encoded(spark, pairs, F.col("text"), whole=True), shards.EOS).alias("ids")), "ids")
     packed = shards.next_fit(ids.select("split", "ordinal", F.size("ids").alias("tokens")), "split", "ordinal", "tokens", cap)
     rows = ids.join(packed.select("split", "ordinal", "shard", "start"), ["split", "ordinal"])
     return sinks.write_shards(rows, output, tokenizer.MERGES_FROM + len(pairs.merges), document="content_hash", tokenizer=json.loads(files.read(tokenizer_path))["sha256"])
@@ -216,9 +216,9 @@ def materialize_metrics(spark: SparkSession, log: str, output: str) -> dict:
     ok = ok & reduce(Column.__and__, (F.coalesce(F.col(f"r.{c}") > 0, F.get_json_object("value", f"$.{c}").isNull()) for c in OPTIONAL))
     rows = events.withColumn("r", F.from_json("value", STEP))
     wrong = F.raise_error(F.concat(F.lit("not a valid step: "), F.substring("value", 1, 80))).cast(rows.schema["r"].dataType)
-    rows = rows.select("line", F.when(F.coalesce(ok, F.lit(False)), F.col("r")).otherwise(wrong).alias("r")).select("line", "r.*")
+    rows = rows.select("path", "line", F.when(F.coalesce(ok, F.lit(False)), F.col("r")).otherwise(wrong).alias("r")).select("path", "line", "r.*")
     rows = rows.withColumn("measurement_optimizer_steps", F.coalesce("measurement_optimizer_steps", F.lit(1).cast("long")))
-    series = metrics.latest(rows, ["optimizer_step"], ["line"]).drop("line")
+    series = saved(metrics.latest(rows, ["optimizer_step"], ["path", "line"]).drop("path", "line"), "series")
     found = metrics.gaps(series.withColumn("run", F.lit(0)), "run", "optimizer_step").first()
     if found is None:
         raise ValueError("no optimizer step in the log")

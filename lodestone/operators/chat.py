@@ -89,6 +89,11 @@ def labels(parts: Column) -> Column:
     return F.concat(F.array(F.lit(IGNORE)), F.flatten(F.transform(parts, _labels)), F.array(last))
 
 
+def prefix_ids(parts: Column) -> Column:
+    """What a model is given to answer the last of the blocks: they, and the mark that opens the assistant's."""
+    return F.concat(F.array(F.lit(1)), F.flatten(F.transform(parts, _ids)), F.array(F.lit(5)))
+
+
 def block_length(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda n, b: n + F.size(b["content"]) + 2)
 

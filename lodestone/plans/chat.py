@@ -124,7 +124,7 @@ def chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = F.col("messages")
     last = F.size(messages) - F.array_position(F.reverse(F.transform(messages, lambda m: m["role"])), "user") + 1
     rows = _own(spark, sf_dir).filter(F.exists("messages", lambda m: m["role"] == "user")).select("conv_id", chat.blocks(F.slice(messages, F.lit(1), last.cast("int"))).alias("parts"))
-    ids = F.concat(F.array(F.lit(1)), F.flatten(F.transform("parts", chat._ids)), F.array(F.lit(5)))
+    ids = chat.prefix_ids(F.col("parts"))
     return rows.select("conv_id", _digest(ids).alias("prefix"), F.size(ids).alias("tokens"))
 
 

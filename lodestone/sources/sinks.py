@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.canonical import canonical
 from lodestone.operators.digest import stream_digest
+from lodestone.session import saved
 from lodestone.ship import ship
 from lodestone.sources import files, records
 
@@ -51,7 +52,7 @@ def write_sample(df: DataFrame, path: str, order: str, text: str) -> dict:
     """
 
     def write(staged: str) -> dict:
-        rows = df.select(F.col(order).cast("long").alias("ordinal"), F.col(text).alias("text"))
+        rows = saved(df.select(F.col(order).cast("long").alias("ordinal"), F.col(text).alias("text")), "sample")  # read several times
         rows.sortWithinPartitions("ordinal").write.json(f"{staged}/documents")
         rows.select("ordinal", F.sha2("text", 256).alias("sha256")).sortWithinPartitions("ordinal").write.json(f"{staged}/hashes")
         found = rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long").alias("bytes")).first().asDict()
@@ -73,8 +74,8 @@ def write_records(df: DataFrame, path: str, order: str) -> dict:
     def write(staged: str) -> dict:
         ship(df.sparkSession)
         rows = df.select(F.col(order).cast("long").alias("_o"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-        rows = rows.mapInArrow(run, "_o long, value string").repartitionByRange("_o").sortWithinPartitions("_o", "value")
-        rows.select("value").write.text(f"{staged}/records")
+        rows = saved(rows.mapInArrow(run, "_o long, value string"), "records")
+        rows.repartitionByRange("_o").sortWithinPartitions("_o", "value").select("value").write.text(f"{staged}/records")
         made = stream_digest(rows, "_o", "value").first().asDict()
         made = {"records": made["documents"], "sha256": made["sha256"], "files": _hashed(df.sparkSession, staged)}
         write_json(f"{staged}/manifest.json", made | {"format": "lodestone-records", "version": 1})
