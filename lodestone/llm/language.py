@@ -27,7 +27,7 @@ from lodestone.ship import ship
 #: Rows of each language in the fitting sample, and how many of them are landmarks at most. All languages together:
 #: MOST_ROWS. Texts of more than MOST_CHARS characters aren't drawn. The model that goes to the workers: MODEL_BYTES.
 PER_LANGUAGE, LANDMARKS, MOST_ROWS, MOST_CHARS, MODEL_BYTES = 200, 48, 20_000, 20_000, 128 << 20
-RIDGE, ORDERS, UNKNOWN = 1e-2, 3, "und"
+RIDGE, UNKNOWN = 1e-2, "und"
 #: Documents whose crc32(id as text) modulo FOLDS is HELD_OUT take no part in learning.
 FOLDS, HELD_OUT = 4, 2
 #: A text whose best regression value is smaller than this is in none of the learnt languages, for keep_identified(). Words

@@ -222,7 +222,7 @@ def test_decontamination(spark, docs, empty):
                         hit |= set(range(a, a + len(win)))
                         found |= {str(k)} - {"None"}
         want[i] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
-    for limit in (1 << 20, 60):  # one automaton, and many
+    for limit in (1 << 20, 4000):  # one automaton, and several
         got = decontamination.decontaminate(df, bench, automaton_bytes=limit)
         assert {r[0]: tuple(r[1:]) for r in decontamination.digest(got).collect()} == want
         for r in got.filter("contaminated").collect():
@@ -493,6 +493,17 @@ def test_crowded_fingerprints(spark):
         assert [linked.get(x, x) for x in signed] == want
 
 
+def test_frequent_fingerprints(spark):
+    """Rows of frequent fingerprints are looked up by a broadcast, the others by a join; together they are all rows."""
+    rnd = random.Random(2)
+    rows = [(k, rnd.choice([7, 7, 7, 8, 9, k])) for k in range(400)]
+    df = spark.createDataFrame(rows, "_id long, fp long")
+    named = df.groupBy("fp").agg(F.count("*").alias("n")).withColumns({"component": F.col("fp") * 2, "component_id": F.col("fp") * 3})
+    for hot in (1, 30, 10**6):
+        got = simhash._look_up(df, named, hot).select("_id", "fp", "component", "component_id").collect()
+        assert Counter(map(tuple, got)) == Counter((i, x, 2 * x, 3 * x) for i, x in rows)
+
+
 def test_deduplicate(spark, docs, empty):
     kept = simhash.deduplicate(docs)
     assert kept.columns == docs.columns
@@ -626,7 +637,7 @@ def test_identify_is_the_plain_method(spark, sf_dir):
         sample += own
     names, score = regress([spectrum(r["text"]) for r in sample], [r["lang"] for r in sample], landmarks, language.RIDGE)
     got = {r["doc_id"]: r for r in language.identify(df).collect()}
-    for r in rows:
+    for r in rows[::3]:
         own = got[r["doc_id"]]
         if not spectrum(r["text"] or ""):
             assert (own["lang_pred"], own["score"]) == ("und", 0.0)
