@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,8 +174,4 @@ def lineage(edges: DataFrame, child: str, parent: str, start: Column | None = No
 
 def plan_matrix(spark, **axes: list) -> DataFrame:
     """Every combination of the axes' values: plans are small by nature."""
-    out = None
-    for name, values in axes.items():
-        side = spark.createDataFrame([(v,) for v in values], [name])
-        out = side if out is None else out.crossJoin(side)
-    return out
+    return spark.createDataFrame(list(product(*axes.values())), list(axes)).coalesce(1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.symbols import BYTE_IDS
 from lodestone.operators.ordered import numbered
-from lodestone.session import saved, saved_path
+from lodestone.session import saved_path
 from lodestone.ship import ship
 from lodestone.sources import files
 
@@ -87,8 +87,10 @@ def next_fit(df: DataFrame, group: str, order: str, tokens: str, cap: int, overs
             for batch, shards, starts, _ in packed(r["file"], ((r["g"],) if r["started"] else None, r["shard"], r["fill"])):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shards), pa.array(starts)], names=["_g", "_o", "_n", "shard", "start"])
 
-    states = saved(spark.range(0, 1, 1, 1).mapInArrow(chain, "file string, started boolean, g string, shard long, fill long"), "states")  # a row a range
-    out = states.repartition("file").mapInArrow(pack, "_g string, _o long, _n long, shard long, start long")
+    state = "file string, started boolean, g string, shard long, fill long"
+    states = [tuple(r) for r in spark.range(0, 1, 1, 1).mapInArrow(chain, state).collect()]  # a row a range
+    listed = spark.createDataFrame(spark.sparkContext.parallelize(states, max(1, len(states))), state)  # a task a range
+    out = listed.mapInArrow(pack, "_g string, _o long, _n long, shard long, start long")
     return out.select(F.col("_g").alias(group), F.col("_o").alias(order), F.col("_n").alias(tokens), "shard", "start")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.ordered import running_sum
+from lodestone.session import saved
 
 SPLITS = ("train", "validation", "test")
 
@@ -58,6 +59,7 @@ def first_occurrences(df: DataFrame, text: str, order: str) -> DataFrame:
     rows = df.filter(F.octet_length(text) > 0).withColumn("_hash", content_hash(F.col(text)))
     first = F.min(F.struct(F.col(order), F.col("_n"))).alias("_first")
     keys = rows.groupBy("_hash", order).agg(F.count("*").alias("_n")).groupBy("_hash").agg(first).select("_hash", F.col(f"_first.{order}").alias(order), "_first._n")
+    keys = saved(keys, "contents")
     kept = rows.join(keys.select("_hash", order), ["_hash", order], "left_semi")
     return (kept if keys.filter("_n > 1").isEmpty() else kept.dropDuplicates(["_hash"])).select(*df.columns)
 
@@ -72,13 +74,13 @@ def flagged(df: DataFrame, text: str, order: str) -> DataFrame:
 
 def budget_prefix(df: DataFrame, text: str, order: str, target: int) -> DataFrame:
     """Kept rows in source order while the bytes before them are fewer than the target: (order, content_hash, bytes, cumulative)."""
-    kept = flagged(df, text, order).filter("kept")
+    kept = saved(flagged(df, text, order).filter("kept"), "kept")  # read several times
     return running_sum(kept, order, F.col("bytes"), "cumulative").filter(F.col("cumulative") - F.col("bytes") < target).select(order, "content_hash", "bytes", "cumulative")
 
 
 def budget_accounting(df: DataFrame, text: str, order: str, target: int) -> DataFrame:
     """One row: what a scan that stops at the row reaching the target has seen. Rows behind it are never counted."""
-    rows = flagged(df, text, order)
+    rows = saved(flagged(df, text, order), "flagged")
     cut = running_sum(rows.filter("kept"), order, F.col("bytes"), "cumulative").filter(F.col("cumulative") >= target).agg(F.min(order).alias("_cut"))
     seen = rows.crossJoin(F.broadcast(cut)).filter(F.col("_cut").isNull() | (F.col(order) <= F.col("_cut")))  # one row
     count = lambda c: F.count_if(F.col(c)).cast("long")
@@ -90,7 +92,7 @@ def cap_prefix(df: DataFrame, text: str, order: str, cap: int, most_documents: i
     rows = df.select(order, size(F.col(text)).alias("bytes"))
     if most_documents is not None:
         rows = rows.orderBy(order).limit(most_documents)
-    rows = running_sum(rows, order, F.col("bytes"), "cumulative")
+    rows = running_sum(saved(rows, "sizes"), order, F.col("bytes"), "cumulative")
     return rows.filter((F.col("cumulative") <= cap) | (F.col("cumulative") == F.col("bytes")))
 
 
@@ -106,9 +108,8 @@ def split_statistics(df: DataFrame, tokens: Column, cap: int) -> DataFrame:
 
 def storage_guard(df: DataFrame, text: str, order: str, limit: int, every: int) -> DataFrame:
     """Bytes written when each `every`-th kept document is checked, and whether they are within the limit."""
-    rows = flagged(df, text, order).filter("kept")
-    rows = running_sum(rows.withColumn("_one", F.lit(1)), order, F.col("bytes"), "written")
-    rows = running_sum(rows, order, F.col("_one"), "documents")
+    rows = saved(flagged(df, text, order).filter("kept").withColumn("_one", F.lit(1)), "kept")
+    rows = running_sum(saved(running_sum(rows, order, F.col("bytes"), "written"), "written"), order, F.col("_one"), "documents")
     return rows.filter(F.col("documents") % every == 0).select("documents", "written", (F.col("written") <= limit).alias("within"))
 
 
