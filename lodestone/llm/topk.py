@@ -26,7 +26,9 @@ from lodestone.ship import ship
 K, SCALE, EVERY = 10, 1024, 100
 #: Pivots of a length, a bounded sample of vectors drawn by a hash: PIVOTS, and one for each segment's worth of rows up to MOST_PIVOTS.
 PIVOTS, MOST_PIVOTS = 64, 1024
-#: Rows of a segment of the index and of an annulus, and queries that are looked at together.
+#: All pivots together, which go to every task, and a segment, which a task holds, have so many bytes at most.
+PIVOT_BYTES, SEGMENT_BYTES = 64 << 20, 32 << 20
+#: Rows of a segment of the index and of an annulus at most, and queries that are looked at together.
 SEGMENT, ANNULUS, BLOCK = 8192, 512, 1024
 #: The most frequent vector lengths have pivots; vectors of others are compared in segments as they come.
 LENGTHS = 64
@@ -192,7 +194,8 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     asked = base.filter("asked").groupBy("id").agg(F.min("v").alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
     sizes = base.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("square"), F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(lengths).collect()
-    wanted = {r["dim"]: max(pivots, min(MOST_PIVOTS, r["n"] // segment)) for r in sizes if r["dim"]}
+    room = lambda dim: max(1, PIVOT_BYTES // (8 * (dim + 1) * len(sizes)))
+    wanted = {r["dim"]: min(room(r["dim"]), max(pivots, min(MOST_PIVOTS, r["n"] // segment))) for r in sizes if r["dim"]}
     drawn: dict[int, list] = {}
     if wanted:  # some rows for each pivot by a hash, of which the first by rank; a bounded number a length
         share = F.create_map(*(x for r in sizes if r["dim"] for x in (F.lit(r["dim"]), F.lit(min(1.0, 8 * wanted[r["dim"]] / r["n"])))))[F.size("v")]
@@ -220,7 +223,9 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
 
     schema = "id long, v array<long>, dim int, pivot int, dist double"
     keyed = base.select("id", "v").mapInArrow(tidied(key), schema)
-    cells = saved(keyed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")), "cells").withColumn("segments", F.ceil(F.col("n") / segment).cast("int"))
+    cells = saved(keyed.groupBy("dim", "pivot").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")), "cells")
+    most = F.greatest(F.lit(1), F.least(F.lit(segment), F.floor(F.lit(SEGMENT_BYTES) / (8 * F.col("dim") + 8)).cast("int")))
+    cells = cells.withColumn("segments", F.ceil(F.col("n") / most).cast("int"))
     # a row a pivot; by a shuffle where lengths are too many to be sent to every task
     number = F.pmod(F.xxhash64("id", "dist"), F.col("segments")).cast("int")
     rows = saved(keyed.join(cells.select("dim", "pivot", "segments"), ["dim", "pivot"]).withColumn("segment", number).drop("segments"), "vectors")
