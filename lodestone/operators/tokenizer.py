@@ -226,51 +226,70 @@ def _replaced(ids: np.ndarray, owner: np.ndarray, merges: Sequence[tuple[tuple[i
     return ids, owner, hits
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.repeat(np.arange(len(sizes)), sizes)
+#: Segments of a block: a block is a row of three binary columns, so that the JVM moves few and large values.
+BLOCK = 1 << 15
+_BLOCKS = "ids binary, sizes binary, frequency binary"
+
+
+def _packed(ids: np.ndarray, sizes: np.ndarray, frequency: np.ndarray) -> pa.RecordBatch:
+    columns = (ids.astype("<i4"), sizes.astype("<i4"), frequency.astype("<i8"))
+    return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["ids", "sizes", "frequency"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, the segment of each, the segments' frequencies) of each block."""
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            ids, sizes, frequency = (np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, ("<i4", "<i4", "<i8"), strict=True))
+            yield ids.copy(), np.repeat(np.arange(len(sizes)), sizes), frequency
 
 
 def _from_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table, texts, counts = np.array(BYTE_IDS, np.int32), [], []
+
+    def block() -> pa.RecordBatch:
+        return _packed(table[np.frombuffer(b"".join(texts), np.uint8)], np.array(list(map(len, texts))), np.array(counts))
+
     for batch in batches:
-        texts = batch.column(0).cast(pa.binary()).to_pylist()
-        ids = np.array(BYTE_IDS, np.int32)[np.frombuffer(b"".join(texts), np.uint8)]
-        ends = np.cumsum([0, *map(len, texts)], dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), batch.column(1)], names=["ids", "frequency"])
+        texts += batch.column(0).cast(pa.binary()).to_pylist()
+        counts += batch.column(1).to_pylist()
+        if len(texts) >= BLOCK:
+            yield block()
+            texts, counts = [], []
+    if texts:
+        yield block()
 
 
 def _with_merges(merges: Sequence[tuple[tuple[int, int], int]]):
     """Segments with the pairs replaced; those of a single id, which hold no pair any more, go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, owner, _ = _replaced(*_flat(batch.column(0)), merges)
-            sizes = np.bincount(owner, minlength=batch.num_rows)
+        for ids, owner, frequency in _unpacked(batches):
+            ids, owner, _ = _replaced(ids, owner, merges)
+            sizes = np.bincount(owner, minlength=len(frequency))
             stay = sizes > 1
-            ends = np.cumsum(np.r_[0, sizes[stay]], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[stay[owner]])), batch.column(1).filter(pa.array(stay))], names=["ids", "frequency"])
+            yield _packed(ids[stay[owner]], sizes[stay], frequency[stay])
 
     return run
 
 
 def _with_hits(merges: Sequence[tuple[tuple[int, int], int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = _replaced(*_flat(batch.column(0)), merges)[2]
+        for ids, owner, _ in _unpacked(batches):
+            hits = _replaced(ids, owner, merges)[2]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(hits)), pa.int64()), pa.array(hits, pa.int64())], names=["k", "hits"])
 
     return run
 
 
 def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(left << 16 | right, count) of each batch."""
-    for batch in batches:
-        ids, owner = _flat(batch.column(0))
+    """(left << 16 | right, count) of each block."""
+    for ids, owner, frequency in _unpacked(batches):
         at = np.flatnonzero(owner[:-1] == owner[1:])
         pairs = ids[at].astype(np.int64) << 16 | ids[at + 1]
         order = np.argsort(pairs, kind="stable")
         if len(order):
-            pairs, counts = pairs[order], batch.column(1).to_numpy()[owner[at[order]]]
+            pairs, counts = pairs[order], frequency[owner[at[order]]]
             first = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(pairs[first]), pa.array(np.add.reduceat(counts, first))], names=["pair", "count"])
 
@@ -300,7 +319,7 @@ class _Tables:
     def __init__(self, frequencies: DataFrame):
         ship(frequencies.sparkSession)
         self.path = None
-        self._write(frequencies.filter(F.octet_length("segment") > 1).select("segment", "frequency").mapInArrow(_from_bytes, "ids array<int>, frequency long"))
+        self._write(frequencies.filter(F.octet_length("segment") > 1).select("segment", "frequency").mapInArrow(_from_bytes, _BLOCKS))
 
     def _write(self, rows: DataFrame) -> None:
         spark, old = rows.sparkSession, self.path
@@ -319,7 +338,7 @@ class _Tables:
         self.merge(merges)
 
     def merge(self, merges: Sequence[tuple[tuple[int, int], int]]) -> None:
-        self._write(self.rows.mapInArrow(_with_merges(merges), "ids array<int>, frequency long"))
+        self._write(self.rows.mapInArrow(_with_merges(merges), _BLOCKS))
 
     def best(self) -> list[tuple[tuple[int, int], int]]:
         counts = self.rows.mapInArrow(_pair_sums, "pair long, count long").groupBy("pair").agg(F.sum("count").alias("n"))
